@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrow.llm import packing, simhash
+from lumenrow.llm import packing, secrets, simhash, toxicity
 from lumenrow.llm.common import stored
 from lumenrow.llm.queries import WORD_VOCABULARY, table
 
@@ -14,6 +14,11 @@ from lumenrow.llm.queries import WORD_VOCABULARY, table
 ORACLE_SQL = None
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the model of op5 finds toxic; the model is learned from the labels of the rows at hand."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document with the smallest doc_id, and of repeated rows one."""
     keys = {"__missing": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))}
@@ -23,12 +28,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keyed.join(kept, [*keys], "left_semi").dropDuplicates([*keys]).select(*docs.columns)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of each secret; n_chars follows the text."""
+    return secrets.redact(docs, length_col="n_chars")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into token windows."""
     return packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("near_duplicates", near_duplicates), ("secrets", without_secrets), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

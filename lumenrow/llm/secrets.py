@@ -144,11 +144,17 @@ def secret_spans(df: DataFrame, samples: DataFrame | None = None, threshold: flo
     return found.select("doc_id", *(count("lr_base", k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(_joined("lr_base"), 256).alias("base_sha256"), _joined("lr_spans").alias("spans"), count("lr_spans", "markov").alias("n_markov"))
 
 
-def redact(df: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, text_col: str = "text", mark: str = REDACTED) -> DataFrame:
-    """df with each secret in ``text_col`` replaced by ``mark``; overlapping spans become one. A null text stays null."""
+def redact(df: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, text_col: str = "text", mark: str = REDACTED, length_col: str | None = None) -> DataFrame:
+    """df with each secret in ``text_col`` replaced by ``mark``; overlapping spans become one. A null text stays null.
+
+    ``length_col``, if given, gets the new number of characters in rows that change.
+    """
     ratios = train(labelled_samples(df.sparkSession) if samples is None else samples)
     found = scan(df, ratios, threshold, text_col)
     hidden = f"""aggregate(lr_spans, struct('' AS out, 0 AS at),
         (acc, s) -> IF(s.start < acc.at, struct(acc.out AS out, greatest(acc.at, s.end) AS at), struct(concat(acc.out, substr(`{text_col}`, acc.at + 1, s.start - acc.at), '{mark}') AS out, s.end AS at)),
         acc -> concat(acc.out, substr(`{text_col}`, acc.at + 1)))"""
-    return found.withColumn(text_col, F.when(F.size("lr_spans") > 0, F.expr(hidden)).otherwise(F.col(text_col))).select(*df.columns)
+    changed = found.withColumn(text_col, F.when(F.size("lr_spans") > 0, F.expr(hidden)).otherwise(F.col(text_col)))
+    if length_col is not None:
+        changed = changed.withColumn(length_col, F.when(F.size("lr_spans") > 0, F.char_length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return changed.select(*df.columns)

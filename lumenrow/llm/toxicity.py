@@ -30,7 +30,7 @@ SAMPLE_ROWS = 20_000
 CHOSEN = 4096
 #: Least different labelled texts that must have a bucket's term, and by how many standard errors its share of toxic ones must stand out.
 LEAST_ROWS, LEAST_APART = 4, 4.5
-FACTORS, ROUNDS, RATE, DECAY = 6, 150, 0.08, 5e-4
+FACTORS, ROUNDS, RATE, DECAY = 6, 200, 0.08, 5e-5
 TOXIC_FROM = 0.3
 #: Distinct words a Python worker remembers.
 CACHE_WORDS = 500_000

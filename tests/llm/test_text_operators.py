@@ -1,0 +1,147 @@
+"""Operators that look at each text by itself, against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+
+from lumenrow.llm import byte_bpe, licenses, media, queries, secrets
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def texts(df):
+    return sorted((r["doc_id"] or -1, r["text"] or "") for r in df.select("doc_id", "text").collect())
+
+
+def by_id(df):
+    return sorted(df.collect(), key=lambda r: r["doc_id"] or -1)
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_secrets(table, request):
+    df = request.getfixturevalue(table)
+    for row, (_, text) in zip(by_id(secrets.secret_spans(df)), texts(df), strict=True):
+        spans = base_spans(text)
+        said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert row["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in KINDS] == [sum(x[1] == i for x in spans) for i in range(3)]
+        assert [s for s in row["spans"].split(",") if not s.startswith("markov")] == said.split(",")
+
+
+def test_markov_spans(spark):
+    found = "Xk29fLq0vTz81RmBcW7yHs4N"
+    df = spark.createDataFrame([(1, f"é use {found} here"), (2, "the maximumConnectionTimeoutWindow42 and internationalisierung_der_verwaltung1 of it"), (3, f"password={found}")], "doc_id long, text string")
+    rows = by_id(secrets.secret_spans(df))
+    assert rows[0]["spans"] == f"markov:6:{6 + len(found)}"
+    assert rows[1]["spans"] == "" and rows[2]["spans"].startswith("assign:") and rows[2]["n_markov"] == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean[1] == "é use [SECRET] here" and clean[3] == "[SECRET]" and "maximum" in clean[2]
+    # held-out samples: identifiers and digests that the models haven't met
+    ratios = secrets.train(secrets.labelled_samples(spark, 1000))
+    index = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    mean = lambda t: sum(ratios[index[a] * len(index) + index[b]] for a, b in zip(t, t[1:], strict=False) if a in index and b in index) / (len(t) - 1)
+    held = [r for r in secrets.labelled_samples(spark, 1600).collect()[2000:]]
+    assert sum((mean(r["sample"]) > secrets.THRESHOLD) == r["is_random"] for r in held) / len(held) > 0.95
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_licenses(table, request):
+    df = request.getfixturevalue(table)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    for row, (_, text) in zip(by_id(licenses.license_scan(df)), texts(df), strict=True):
+        words, places = word.findall(text.translate(lower)), []
+        for phrase, label in licenses.PHRASES:
+            p = phrase.split()
+            places += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+        at = [i for i, _ in places]
+        assert (row["n_words"], row["n_base"]) == (len(words), len(places))
+        assert (row["first_word"], row["last_word"]) == ((min(at), max(at)) if at else (None, None))
+        assert row["base_labels"] == ",".join(sorted({label for _, label in places}))
+        assert {label for _, label in places} <= {*row["labels"].split(",")} and 0 <= row["score"] <= 1
+
+
+def test_license_templates_with_edits(spark):
+    mit = licenses.TEMPLATES[1][0]
+    changed = mit.replace("free of charge", "wholly free of any charge")
+    rows = by_id(licenses.license_scan(spark.createDataFrame([(1, f"x {mit} y"), (2, changed), (3, " ".join(mit.split()[:6]))], "doc_id long, text string")))
+    assert rows[0]["labels"] == "mit" and rows[0]["score"] == 1.0 and rows[0]["spans"][0]["first"] == 1
+    assert rows[1]["labels"] == "mit" and 0.6 <= rows[1]["score"] < 1
+    assert rows[2]["labels"] == ""
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_media(table, request):
+    df = request.getfixturevalue(table)
+    for row, (_, text) in zip(by_id(media.media_rows(df)), texts(df), strict=True):
+        data = text.encode()
+        payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-32:]))
+        assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and media.from_wav(bytes(row["media"])) == payload
+        assert row["media_sha256"] == hashlib.sha256(row["media"]).hexdigest() and row["media_bytes"] == len(row["media"])
+        assert len(row["feature"]) == 16 * len(row["pair_times"]) == 16 * len(row["pair_hashes"])
+
+
+def test_peaks_find_a_tone():
+    import numpy as np
+
+    tone = (128 + 100 * np.sin(2 * np.pi * 30 * np.arange(192 * 20) / 192)).astype(np.uint8).tobytes()
+    times, bins = media.peaks(tone)
+    assert {*times[bins == 30].tolist()} == {*range(39)}
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_byte_bpe(table, request):
+    import numpy as np
+    import tiktoken
+
+    df = request.getfixturevalue(table)
+    path = public_tokenizers.path(queries.BYTE_RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    rows = byte_bpe.encode_texts(df, path, public_tokenizers.PATTERN)
+    for row, (_, text) in zip(by_id(rows), texts(df), strict=True):
+        ids = known.encode_ordinary(text)
+        assert row["ids"] == ids and row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    decoded = byte_bpe.decode_ids(rows, path).select("decoded_sha256", "decoded").collect()
+    assert all(hashlib.sha256(r["decoded"]).hexdigest() == r["decoded_sha256"] for r in decoded)
+
+
+def test_byte_bpe_odd_strings_appends_and_edits():
+    import random
+
+    import numpy as np
+    import tiktoken
+
+    path = public_tokenizers.path(queries.BYTE_RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    enc, rng = byte_bpe.encoder(path, public_tokenizers.PATTERN), random.Random(5)
+    parts = [*"abehit  \n\t'sTHE.,.,!?-_é€漢😀²ª\x00\x85", "the", "tion", " in", "'ll", "\r\n", "   ", "%%%"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == known.encode_ordinary(text), repr(text)
+    for _ in range(100):
+        old = bytes(rng.choice(b"abcdethinos ") for _ in range(150))
+        last = enc.bpe.prefixes(old)
+        assert enc.bpe.prefixes(old + b" then", last) == enc.bpe.prefixes(old + b" then")
+        at, removed = rng.randint(0, 140), rng.randint(0, 8)
+        new, again = enc.bpe.edited(old, last, at, removed, b"ing")
+        assert new == old[:at] + b"ing" + old[at + removed :] and again == enc.bpe.prefixes(new)
+
+
+def test_empty_tables(none):
+    path = public_tokenizers.path(queries.BYTE_RANKS)
+    for df in (secrets.secret_spans(none), licenses.license_scan(none), media.media_rows(none), byte_bpe.encode_texts(none, path, public_tokenizers.PATTERN), secrets.redact(none)):
+        assert df.count() == 0
