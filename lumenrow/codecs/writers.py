@@ -13,12 +13,15 @@ class BitWriter:
         self.msb, self.bits = msb, []
 
     def put(self, value, n):
-        order = range(n - 1, -1, -1) if self.msb else range(n)
-        self.bits += [value >> i & 1 for i in order]
+        if n:
+            digits = f"{int(value):0{n}b}"
+            self.bits.append(digits if self.msb else digits[::-1])
 
     def bytes(self, fill=0):
-        bits = self.bits + [fill] * (-len(self.bits) % 8)
-        return np.packbits(np.array(bits, np.uint8), bitorder="big" if self.msb else "little").tobytes()
+        bits = "".join(self.bits)
+        bits += str(fill) * (-len(bits) % 8)
+        packed = np.frombuffer(bits.encode(), np.uint8) - 48
+        return np.packbits(packed, bitorder="big" if self.msb else "little").tobytes()
 
 
 def png_chunk(kind, data):
@@ -67,7 +70,7 @@ def _magnitude(v):
 
 def _ac(w, coefs, start, end):
     run = 0
-    last = max((k for k in range(start, end + 1) if coefs[k]), default=start - 1)
+    last = max((k for k in range(start, end + 1) if coefs[k]), default=start - 1) if any(coefs[start : end + 1]) else start - 1
     for k in range(start, last + 1):
         if not coefs[k]:
             run += 1
@@ -156,7 +159,10 @@ def jpeg(width, height, parts, tables, interval=0, progressive=False, extra=b"")
 
     def both(w, i, coefs, predicted):
         dc(0)(w, i, coefs, predicted)
-        _ac(w, [int(c) for c in coefs], 1, 63)
+        if coefs[1:].any():
+            _ac(w, coefs.tolist(), 1, 63)
+        else:
+            w.put(0, 8)
 
     every = [*range(len(parts))]
     if not progressive:
