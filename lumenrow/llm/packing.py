@@ -39,6 +39,8 @@ GROUP_ROWS = 4096
 GROUP_STRIDE = 1 << 20
 #: Distinct words a Python worker remembers, and their greatest length.
 CACHE_WORDS, CACHED_CHARS = 500_000, 48
+#: Longer words are left to the library, whose merging grows more slowly with the length.
+MERGED_CHARS = 512
 
 
 #: Letters that have one lower case and no composed form of several.
@@ -80,7 +82,7 @@ class _Words(dict):
         self.merge = _merge_table(self.tokenizer).encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
-        if _LATIN.fullmatch(word):
+        if len(word) <= MERGED_CHARS and _LATIN.fullmatch(word):
             ids = [i for part in _SPLIT.findall(word.lower()) for i in self.merge(part.encode() + _WORD_END)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
