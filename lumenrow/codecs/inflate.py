@@ -108,20 +108,23 @@ def inflate(data: bytes, start: int = 0, limit: int = DEFAULT_LIMIT, format: str
         literal, distance = _fixed() if kind == 1 else _dynamic(bits, format)
         found.fixed += kind == 1
         found.dynamic += kind == 2
-        read, table, width = literal.read, literal.table, literal.bits
-        mask, literals, matches = (1 << width) - 1, 0, 0
+        # 48 bits hold the longest length and distance with their extra bits, so one refill a symbol is enough
+        table, mask, far, far_mask = literal.table, (1 << literal.bits) - 1, distance.table, (1 << distance.bits) - 1
+        held, count, at, stop, literals, matches = bits.held, bits.count, bits.at, bits.end, 0, 0
         while True:
-            # the common case, a literal whose bits are at hand, without a call
-            if bits.count < width:
-                bits.fill(48)
-            entry = table[bits.held & mask]
+            if count < 48 and at < stop:
+                step = data[at : min(at + 6, stop)]
+                held |= int.from_bytes(step, "little") << count
+                at += len(step)
+                count += 8 * len(step)
+            entry = table[held & mask]
             n = entry & 15
-            if n and n <= bits.count:
-                bits.held >>= n
-                bits.count -= n
-                symbol = entry >> 4
-            else:
-                symbol = read(bits)
+            held >>= n
+            count -= n
+            symbol = entry >> 4
+            if count < 0 or not n:
+                bits.at = at
+                raise DecodeError("the bit stream ends early" if n else "literals: no such code", format, at)
             if symbol < 256:
                 if len(out) >= limit:
                     room(1)
@@ -131,21 +134,34 @@ def inflate(data: bytes, start: int = 0, limit: int = DEFAULT_LIMIT, format: str
             if symbol == 256:
                 break
             if symbol > 285:
-                raise DecodeError(f"length code {symbol}", format, bits.position())
-            base, extra = LENGTHS[symbol - 257]
-            length = base + (bits.read(extra) if extra else 0)
-            code = distance.read(bits)
-            if code > 29:
-                raise DecodeError(f"distance code {code}", format, bits.position())
-            base, extra = DISTANCES[code]
-            back = base + (bits.read(extra) if extra else 0)
-            if back > len(out):
-                raise DecodeError(f"a match {back} bytes back with {len(out)} before it", format, bits.position())
-            room(length)
-            at = len(out) - back
+                raise DecodeError(f"length code {symbol}", format, at)
+            length, extra = LENGTHS[symbol - 257]
+            if extra:
+                length += held & ((1 << extra) - 1)
+                held >>= extra
+                count -= extra
+            entry = far[held & far_mask]
+            n = entry & 15
+            held >>= n
+            count -= n
+            if not n or entry >> 4 > 29:
+                raise DecodeError("distances: no such code", format, at)
+            back, extra = DISTANCES[entry >> 4]
+            if extra:
+                back += held & ((1 << extra) - 1)
+                held >>= extra
+                count -= extra
+            if count < 0:
+                raise DecodeError("the bit stream ends early", format, at)
+            had = len(out)
+            if back > had:
+                raise DecodeError(f"a match {back} bytes back with {had} before it", format, at)
+            if had + length > limit:
+                room(length)
             # where source and copy overlap the source repeats
-            out += out[at : at + length] if back >= length else (out[at:] * (length // back + 1))[:length]
+            out += out[had - back : had - back + length] if back >= length else (out[had - back :] * (length // back + 1))[:length]
             matches += 1
+        bits.held, bits.count, bits.at = held, count, at
         found.literals += literals
         found.matches += matches
     bits.align()

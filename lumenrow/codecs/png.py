@@ -21,6 +21,8 @@ ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (
 SINGLE = ((0, 0, 1, 1),)
 FILTERS = ("None", "Sub", "Up", "Average", "Paeth")
 TEXT_CHARS = 120
+#: Rows whose filters are undone together.
+BAND = 512
 
 
 @dataclass
@@ -175,10 +177,10 @@ def unfilter(rows: np.ndarray, kinds: np.ndarray, lanes: int) -> np.ndarray:
     upper and upper left neighbours, so pixels are done along the diagonals on
     which these are all known.
     """
-    h, n = rows.shape
+    h, n_bytes = rows.shape
     if (kinds > 4).any():
         raise DecodeError(f"filter {kinds.max()} in row {int((kinds > 4).argmax())}", NAME)
-    w = n // lanes
+    w = n_bytes // lanes
     raw = rows.reshape(h, w, lanes)
     if not (kinds >= 3).any():
         out = np.zeros((h + 1, w, lanes), np.uint8)
@@ -189,19 +191,29 @@ def unfilter(rows: np.ndarray, kinds: np.ndarray, lanes: int) -> np.ndarray:
             elif kinds[y] == 2:
                 line = line + out[y]
             out[y + 1] = line
-        return out[1:].reshape(h, n)
-    done = np.zeros((h + 1, w + 1, lanes), np.int16)
-    kind = kinds.astype(np.int16)[:, None]
-    for d in range(h + w - 1):
-        y = np.arange(max(0, d - w + 1), min(h, d + 1))
-        x = d - y
-        a, b, c = done[y + 1, x], done[y, x + 1], done[y, x]
-        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
-        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
-        k = kind[y]
-        guess = np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) >> 1, paeth], 0)
-        done[y + 1, x + 1] = (raw[y, x] + guess) & 255
-    return done[1:, 1:].astype(np.uint8).reshape(h, n)
+        return out[1:].reshape(h, n_bytes)
+    out, prior = np.empty((h, w, lanes), np.uint8), np.zeros((w, lanes), np.int16)
+    for top in range(0, h, BAND):
+        band = raw[top : top + BAND]
+        n = len(band)
+        # skewed, so that a diagonal is one row: pixel (x, y) stands in row x + y, behind two rows and a column for its neighbours
+        given, done = np.zeros((w + n - 1, n, lanes), np.int16), np.zeros((w + n + 1, n + 1, lanes), np.int16)
+        for y in range(n):
+            given[y : y + w, y] = band[y]
+        done[1 : w + 1, 0] = prior
+        sub, up, mean, paeth = ((kinds[top : top + n] == k).astype(np.int16)[:, None] for k in (1, 2, 3, 4))
+        for d in range(w + n - 1):
+            i, j = max(0, d - w + 1), min(n, d + 1)
+            a, b, c = done[d + 1, i + 1 : j + 1], done[d + 1, i:j], done[d, i:j]
+            p, q = b - c, a - c
+            pa, pb, pc = np.abs(p), np.abs(q), np.abs(p + q)
+            nearest = np.where(pa <= np.minimum(pb, pc), a, np.where(pb <= pc, b, c))
+            guess = sub[i:j] * a + up[i:j] * b + mean[i:j] * ((a + b) >> 1) + paeth[i:j] * nearest
+            done[d + 2, i + 1 : j + 1] = (given[d, i:j] + guess) & 255
+        for y in range(n):
+            out[top + y] = done[y + 2 : y + 2 + w, y + 1]
+        prior = out[top + n - 1].astype(np.int16)
+    return out.reshape(h, n_bytes)
 
 
 def samples(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
