@@ -187,33 +187,60 @@ class Stream:
         bits, total, out = self.bits, width * height, []
         cache = [0] * (1 << cache_bits) if cache_bits else None
         rows = tiles.tolist() if tiles is not None else None
-        entered = 0
-
-        def remember(to: int) -> None:
-            nonlocal entered
-            if cache is not None:
-                for argb in out[entered:to]:
-                    cache[cache_slot(argb, cache_bits)] = argb
-            entered = to
-
-        while len(out) < total:
-            at = len(out)
-            green, red, blue, alpha, far = groups[rows[at // width >> tile_bits][at % width >> tile_bits]] if rows else groups[0]
-            symbol = green.read(bits)
+        # a code of one symbol takes no bits: a table of one entry
+        tables = [[(c.table, (1 << c.bits) - 1) if c.only is None else ([c.only << 4], 0) for c in g[:4]] for g in groups]
+        data, stop, entered, place, tile = bits.data, bits.end, 0, 0, None
+        (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask) = tables[0]
+        far = groups[0][4]
+        held, count, at = bits.held, bits.count, bits.at
+        while place < total:
+            if rows:
+                now = rows[place // width >> tile_bits][place % width >> tile_bits]
+                if now != tile:
+                    tile, far = now, groups[now][4]
+                    (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask) = tables[now]
+            if count < 64 and at < stop:  # four codes are 60 bits at most
+                step = data[at : min(at + 8, stop)]
+                held |= int.from_bytes(step, "little") << count
+                at += len(step)
+                count += 8 * len(step)
+            entry = green[held & green_mask]
+            held >>= entry & 15
+            count -= entry & 15
+            symbol = entry >> 4
             if symbol < 256:
-                r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-                out.append(a << 24 | r << 16 | symbol << 8 | b)
-            elif symbol < 280:
+                r = red[held & red_mask]
+                held >>= r & 15
+                b = blue[held & blue_mask]
+                held >>= b & 15
+                a = alpha[held & alpha_mask]
+                held >>= a & 15
+                count -= (r & 15) + (b & 15) + (a & 15)
+                if count < 0:
+                    raise DecodeError("the bit stream ends early", NAME, at)
+                out.append((a >> 4) << 24 | (r >> 4) << 16 | symbol << 8 | b >> 4)
+                place += 1
+                continue
+            if count < 0:
+                raise DecodeError("the bit stream ends early", NAME, at)
+            if symbol < 280:
+                bits.held, bits.count, bits.at = held, count, at
                 n = self.value(symbol - 256)
                 back = distance(width, self.value(far.read(bits)))
-                if back > at or at + n > total:
-                    raise DecodeError("a copy from before or to behind the image", NAME, bits.position())
-                out += out[at - back : at - back + n] if back >= n else (out[at - back :] * (n // back + 1))[:n]
+                held, count, at = bits.held, bits.count, bits.at
+                if back > place or place + n > total:
+                    raise DecodeError("a copy from before or to behind the image", NAME, at)
+                out += out[place - back : place - back + n] if back >= n else (out[place - back :] * (n // back + 1))[:n]
+                place += n
             else:
-                remember(at)
                 if cache is None or symbol - 280 >= len(cache):
-                    raise DecodeError("a colour that isn't in the cache", NAME, bits.position())
+                    raise DecodeError("a colour that isn't in the cache", NAME, at)
+                for argb in out[entered:]:  # the cache is brought up to date only when it is asked
+                    cache[cache_slot(argb, cache_bits)] = argb
+                entered = place
                 out.append(cache[symbol - 280])
+                place += 1
+        bits.held, bits.count, bits.at = held, count, at
         return np.array(out, np.int64).reshape(height, width)
 
 

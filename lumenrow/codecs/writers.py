@@ -204,9 +204,9 @@ def _put_pixels(w, argb):
     for size in (280, 256, 256, 256):
         _flat_code(w, size)
     _single(w, 0)
-    for p in argb.ravel().tolist():
-        for shift in (8, 16, 0, 24):
-            w.put(int(f"{p >> shift & 255:08b}"[::-1], 2), 8)
+    # codes stand in the stream from their highest bit on, so a pixel is the bits of its G, R, B and A
+    parts = np.stack([argb.ravel() >> shift & 255 for shift in (8, 16, 0, 24)], axis=1).astype(np.uint8)
+    w.bits.append((np.unpackbits(parts.ravel()) + 48).tobytes().decode())
 
 
 def vp8l(argb, transforms=()):
