@@ -65,25 +65,31 @@ def cmyk_rgb(c: Column, m: Column, y: Column, k: Column, inverted: bool) -> tupl
     return div(c * k, 255), div(m * k, 255), div(y * k, 255)
 
 
-def idct_pass(inputs: list[Column], rounding: int, shift: int) -> list[Column]:
-    """One pass of the integer inverse transform: eight outputs from eight inputs."""
-    bounded = [F.least(F.greatest(x.cast("long"), F.lit(-32767)), F.lit(32767)) for x in inputs]
+def idct_pass(inputs: Column, rounding: int, shift: int) -> Column:
+    """One pass of the integer inverse transform: array of eight outputs from an array of eight bounded inputs."""
     out = []
     for row in jpeg.TRANSFORM.tolist():
         total = F.lit(rounding).cast("long")
-        for weight, x in zip(row, bounded, strict=True):
-            total = total + x * weight
+        for j, weight in enumerate(row):
+            total = total + F.get(inputs, F.lit(j)) * weight
         out.append(F.shiftright(total, shift))
-    return out
+    return F.array(*out)
 
 
 def idct_block(coef: Column) -> Column:
-    """Samples 0..255 of a block of 64 dequantised coefficients, both arrays in natural order."""
+    """Samples 0..255 of a block of 64 dequantised coefficients, both arrays in natural order.
+
+    What is used more than once is handed on as a lambda's argument, so that it
+    is worked out once.
+    """
     line = F.sequence(F.lit(0), F.lit(7))
-    columns = F.transform(line, lambda c: F.array(*idct_pass([F.get(coef, c + 8 * r) for r in range(8)], 1 << 9, 10)))
-    rows = lambda cols: F.transform(line, lambda r: F.array(*[clamp(v) for v in idct_pass([F.get(F.get(cols, F.lit(c)), r) for c in range(8)], (1 << 16) + (128 << 17), 17)]))
-    # an array of one holds the first pass, so that it is done once
-    return F.flatten(F.get(F.transform(F.array(columns), rows), F.lit(0)))
+    bounded = lambda v: F.least(F.greatest(v.cast("long"), F.lit(-32767)), F.lit(32767))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    columns = once(coef, lambda b: F.transform(line, lambda c: F.transform(line, lambda r: bounded(F.get(b, c + r * 8)))))
+    first = F.transform(columns, lambda v: idct_pass(v, 1 << 9, 10))
+    rows = once(first, lambda w: F.transform(line, lambda r: F.transform(line, lambda c: bounded(F.get(F.get(w, c), r)))))
+    samples = F.transform(rows, lambda v: idct_pass(v, (1 << 16) + (128 << 17), 17))
+    return F.transform(F.flatten(samples), clamp)
 
 
 def orient(x: Column, y: Column, width: Column, height: Column, orientation: int) -> tuple[Column, Column]:
