@@ -142,7 +142,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct values of column ``fp`` at most two bits apart; a hub may stand between two."""
-    sorted_keys = _keys(fps.select("fp").distinct()).repartition("bucket").sortWithinPartitions("bucket", F.desc("own"))
+    # a value becomes some 36 keys, so it is spread by number first: by its size alone it would seem little work
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_keys = _keys(fps.select("fp").repartition(tasks, "fp").distinct()).repartition("bucket").sortWithinPartitions("bucket", F.desc("own"))
     return sorted_keys.mapInArrow(_linked, "a long, b long")
 
 
