@@ -32,7 +32,7 @@ from .common import bounded_batches, id_and_text, stored, texts_of
 WINDOW = 4096
 END_ID = 2
 #: Tokens of a piece of a remainder at most; small pieces make loads more equal.
-CUT = 1024
+CUT = 512
 #: Pieces in a group, about; a group's last window is all that is padded much.
 GROUP_ROWS = 4096
 #: Windows of one group never reach this, so group and window make one number.
