@@ -1,12 +1,17 @@
-"""Approximate nearest neighbours by cross-polytope hashing.
+"""Nearest neighbours by cross-polytope hashing, probed until an exact bound ends the search.
 
-Vectors are scaled by the greatest norm and given one more component that makes
-them unit vectors, so that the largest inner product is the nearest direction.
-Each table turns them by a pseudo-rotation (three rounds of random signs and a
-fast Hadamard transform) and assigns them to the nearest signed axis. A query
-probes the cells whose axes its turned vector points to most, over all tables
-at once, until those hold a share of all vectors; the vectors found there are
-reranked exactly.
+Vectors are dealt into bands of like norms. Within a band they are scaled by its
+greatest norm and given one more component that makes them unit vectors, so that
+the largest inner product is the nearest direction. Each table turns them by a
+pseudo-rotation (three rounds of random signs and a fast Hadamard transform) and
+assigns them to the nearest signed axis.
+
+A query first probes the cells whose axes its turned vector points to most,
+weighed by their bands' norms, over all tables and bands at once, until those
+hold a share of all vectors. The k-th best score found is a floor. Then it goes
+on through every cell of the first table whose bound (from the angle between
+query and axis, the angles its vectors have to that axis, and the band's norm)
+reaches the floor, so that nothing left out can be among the k nearest.
 
 Equal vectors are one class. A class keeps only its smallest ids, as no query
 can return more, so a vector that a third of all rows share costs no more than
@@ -17,6 +22,7 @@ blocks of its cells: nothing is capped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,11 +34,19 @@ from .common import stored
 
 K = 20
 TABLES = 8
-#: Probed cells hold this share of all tables' entries, or PROBE_LEAST entries if that is more.
+#: First probes hold this share of all tables' entries, or PROBE_LEAST entries if that is more. Results don't depend on it.
 PROBE_SHARE = 0.06
 PROBE_LEAST = 40_000
 #: Rows of a cell, and queries of a cell, that one task takes together.
 BLOCK_CANDIDATES, BLOCK_QUERIES = 8192, 2048
+#: Neighbouring cells of the first table are put together up to so many vectors when a query goes on.
+CHUNK = 1024
+#: Norms that differ by less than a factor of 2 ** (1 / BANDS) are one band.
+BANDS = 4
+#: Cells times queries that are weighed at once.
+WEIGHED = 1 << 22
+#: What rounding may take from a cosine, far more than it does (an angle near 0 is off by 1e-8).
+SLACK = 1e-7
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,28 +82,77 @@ def _lifted(x: np.ndarray, greatest: float, query: bool) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
 
 
-def cells_of(x: np.ndarray, greatest: float, tables: int = TABLES) -> np.ndarray:
-    """For each candidate row its cell in every table: table * 2 * size + 2 * axis + (1 if negative)."""
+def cells_of(x: np.ndarray, greatest: float, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """For each candidate row its cell in every table, table * 2 * size + 2 * axis + (1 if negative), and what it has in that direction."""
     size, lifted = padded_size(x.shape[1]), _lifted(x, greatest, False)
-    out = np.empty((len(x), tables), np.int32)
+    out, along = np.empty((len(x), tables), np.int32), np.empty((len(x), tables))
     for t in range(tables):
         z = turned(lifted, t, size)
         axis = np.abs(z).argmax(axis=1)
-        out[:, t] = t * 2 * size + 2 * axis + (z[np.arange(len(z)), axis] < 0)
-    return out
+        at = z[np.arange(len(z)), axis]
+        out[:, t], along[:, t] = t * 2 * size + 2 * axis + (at < 0), np.abs(at)
+    return out, along
+
+
+class Band(NamedTuple):
+    """Vectors of one length and of like norms; its cells are numbered from ``base`` on."""
 
+    dim: int
+    band: int
+    greatest: float
+    held: int
+    base: int
 
-def probes_of(x: np.ndarray, counts: np.ndarray, enough: float, tables: int = TABLES) -> list[np.ndarray]:
-    """For each query row the cells it probes: best first, those that hold any, until they hold ``enough`` entries."""
+
+def pointing(x: np.ndarray, tables: int) -> np.ndarray:
+    """For each query row what its unit vector has in the direction of every table's signed axes, as cells of one band are numbered."""
     size, lifted = padded_size(x.shape[1]), _lifted(x, 1.0, True)
     z = np.empty((len(x), tables * 2 * size))
     for t in range(tables):
         y = turned(lifted, t, size)
         z[:, t * 2 * size : (t + 1) * 2 * size : 2] = y
         z[:, t * 2 * size + 1 : (t + 1) * 2 * size : 2] = -y
-    order = np.argsort(-z, axis=1, kind="stable")
-    held = np.cumsum(counts[order], axis=1)
-    return [o[: int(np.searchsorted(h, enough)) + 1][counts[o[: int(np.searchsorted(h, enough)) + 1]] > 0].astype(np.int32) for o, h in zip(order, held, strict=True)]
+    return z
+
+
+def probes_of(x: np.ndarray, bands: list[Band], counts: np.ndarray, enough: float, tables: int = TABLES) -> list[np.ndarray]:
+    """For each query row the cells of ``bands`` it probes: best first, those that hold any, until they hold ``enough`` entries."""
+    width = tables * 2 * padded_size(x.shape[1])
+    local = [np.flatnonzero(counts[b.base : b.base + width]) for b in bands]
+    cells = np.concatenate([f + b.base for f, b in zip(local, bands, strict=True)])
+    top, out = max(b.greatest for b in bands), []
+    step = max(1, WEIGHED // (len(cells) + width))
+    for i in range(0, len(x), step):
+        z = pointing(x[i : i + step], tables)
+        weight = np.concatenate([z[:, f] * (b.greatest / top) for f, b in zip(local, bands, strict=True)], axis=1)
+        order = np.argsort(-weight, axis=1, kind="stable")
+        held = np.cumsum(counts[cells][order], axis=1)
+        out += [cells[o[: int(np.searchsorted(h, enough)) + 1]].astype(np.int32) for o, h in zip(order, held, strict=True)]
+    return out
+
+
+def reaching(x: np.ndarray, floors: np.ndarray, bands: list[Band], chunk_of: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+    """For each query row the chunks with a cell of the first table whose bound reaches the row's floor.
+
+    Vectors of a cell have ``least`` to ``most`` in the direction of its axis,
+    so their angle to the query is at least the gap between its angle to the
+    axis and theirs.
+    """
+    width = 2 * padded_size(x.shape[1])
+    local = [np.flatnonzero(chunk_of[b.base : b.base + width] >= 0) for b in bands]
+    cells = np.concatenate([f + b.base for f, b in zip(local, bands, strict=True)])
+    greatest = np.concatenate([np.full(len(f), b.greatest) for f, b in zip(local, bands, strict=True)])
+    near, far = np.arccos(np.clip(most[cells], -1, 1)), np.arccos(np.clip(least[cells], -1, 1))
+    out, step = [], max(1, WEIGHED // (len(cells) + width))
+    for i in range(0, len(x), step):
+        z = pointing(x[i : i + step], 1)
+        angle = np.arccos(np.clip(np.concatenate([z[:, f] for f in local], axis=1), -1, 1))
+        gap = np.maximum(0, np.maximum(near - angle, angle - far))
+        bound = (np.cos(gap) + SLACK) * greatest
+        with np.errstate(invalid="ignore"):
+            floor = floors[i : i + step] / np.linalg.norm(x[i : i + step], axis=1)
+        out += [np.unique(chunk_of[cells[row]]) for row in bound >= floor[:, None]]
+    return out
 
 
 def _matrix(column: pd.Series | pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -98,8 +161,42 @@ def _matrix(column: pd.Series | pa.ChunkedArray | pa.Array, dim: int) -> np.ndar
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
+def _reranked(classes: DataFrame, cells: DataFrame, probes: DataFrame, counts: np.ndarray, k: int) -> DataFrame:
+    """qid, cid and score: for each probe (cid, cell, floor) the k + 1 best of the cell's vectors, and what ties with them, as far as they reach the floor."""
+    spark = classes.sparkSession
+    asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
+    parts = [(int(c), -(-int(counts[c]) // BLOCK_CANDIDATES), -(-q // BLOCK_QUERIES)) for c, q in asked.items()]
+    # broadcast: a row for each cell at most
+    blocks = F.broadcast(spark.createDataFrame(parts, "cell int, c_parts int, q_parts int"))
+    # new names on each side of the cogroup, as both come from the same classes
+    vector = lambda name: classes.select(F.col("cid").alias("cid"), F.col("v").alias(name))
+    of = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    candidates = cells.join(blocks, "cell").select("cid", "cell", of(F.col("c_parts")).alias("c"), spread(F.col("q_parts")).alias("q")).join(vector("cv"), "cid").select(*[F.col(c).alias(c) for c in ("cid", "cell", "c", "q", "cv")])
+    queries = probes.join(blocks, "cell").select("cid", "cell", "floor", of(F.col("q_parts")).alias("q"), spread(F.col("c_parts")).alias("c")).join(vector("qv"), "cid").select(*[F.col(c).alias(c) for c in ("cid", "cell", "c", "q", "qv", "floor")])
+
+    def rerank(asking: pa.Table, found: pa.Table) -> pa.Table:
+        made = {"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)}
+        if asking.num_rows and found.num_rows:
+            dim = len(asking.column("qv")[0])
+            q, c = _matrix(asking.column("qv"), dim), _matrix(found.column("cv"), dim)
+            near = q @ c.T
+            n = min(k + 1, len(c))
+            worst = np.partition(near, len(c) - n, axis=1)[:, len(c) - n]
+            # whatever ties with the last stays in, as far as rounding goes
+            off = 4e-16 * dim * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+            qi, ci = np.nonzero(near >= (np.maximum(worst, asking.column("floor").to_numpy()) - off)[:, None])
+            exact = np.zeros(len(qi))
+            for d in range(dim):  # in order of components, so that the sum doesn't hang on the block
+                exact += q[qi, d] * c[ci, d]
+            made = {"qid": asking.column("cid").to_numpy()[qi], "cid": found.column("cid").to_numpy()[ci], "score": exact}
+        return pa.table(made)
+
+    return queries.groupBy("cell", "q", "c").cogroup(candidates.groupBy("cell", "q", "c")).applyInArrow(rerank, "qid long, cid long, score double")
+
+
 def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probe_share: float = PROBE_SHARE, probe_least: int = PROBE_LEAST) -> DataFrame:
-    """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k nearest other rows found.
+    """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k nearest other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller
     vec_id; a query gets all other rows if they are fewer than k. Rows with a
@@ -121,62 +218,85 @@ def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vecto
     first = rows.select("vec_id", "k1", "k2").withColumn("r", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     ids = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     vectors = rows.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.max(F.col("vec_id") % every == 0).alias("asked"))
-    classes = stored(stored(ids.join(vectors, ["k1", "k2"]), "classes").withColumn("cid", F.monotonically_increasing_id()), "numbered")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    total, greatest = classes.agg(F.count("*"), F.max(norm)).first()
-    if not total:
+    top = F.array_max(F.transform("v", F.abs))
+    joint = stored(ids.join(vectors, ["k1", "k2"]).withColumn("top", top).withColumn("dim", F.size("v")), "classes")
+    # by the greatest component, so that squares neither overflow nor vanish
+    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))
+    joint = joint.withColumn("norm", norm).withColumn("band", F.floor(F.log2("norm") * BANDS + 0.5).cast("int"))
+    classes = stored(joint.withColumn("cid", F.monotonically_increasing_id()), "numbered")
+    # a row for each length and band of norms
+    found = sorted(classes.groupBy("dim", "band").agg(F.max("norm").alias("greatest"), F.count("*").alias("held")).collect(), key=lambda r: (r["dim"], -r["band"]))
+    if not found:
         return spark.createDataFrame([], out)
+    bands, end = [], 0
+    for r in found:
+        bands.append(Band(r["dim"], r["band"], r["greatest"], r["held"], end))
+        end += tables * 2 * padded_size(r["dim"])
+    number = {(b.dim, b.band): b for b in bands}
+    of_dim = {d: [b for b in bands if b.dim == d] for d in {b.dim for b in bands}}
+
+    def parted(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+        """The batch's rows by dim (and band)."""
+        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys], axis=1)
+        for key in np.unique(values, axis=0):
+            yield tuple(key.tolist()), np.flatnonzero((values == key).all(axis=1))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cells = cells_of(_matrix(batch.column(1), dim), greatest, tables)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cells.ravel())], names=["cid", "cell"])
+            for key, at in parted(batch, "dim", "band"):
+                band = number[key]
+                cells, along = cells_of(_matrix(batch.column(1).take(pa.array(at)), band.dim), band.greatest, tables)
+                cids = batch.column(0).take(pa.array(np.repeat(at, tables)))
+                yield pa.RecordBatch.from_arrays([cids, pa.array((cells + band.base).astype(np.int32).ravel()), pa.array(along.ravel())], names=["cid", "cell", "along"])
 
-    cells = stored(classes.select("cid", "v").mapInArrow(coded, "cid long, cell int"), "cells")
-    counts = np.zeros(tables * 2 * padded_size(dim), np.int64)
-    for r in cells.groupBy("cell").count().collect():  # a row for each cell at most
-        counts[r["cell"]] = r["count"]
-    enough = max(probe_least, probe_share * total * tables)
+    cells = stored(classes.select("cid", "v", "dim", "band").mapInArrow(coded, "cid long, cell int, along double"), "cells")
+    counts, least_along, most_along = np.zeros(end, np.int64), np.zeros(end), np.zeros(end)
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("along").alias("least"), F.max("along").alias("most")).collect():  # a row for each cell at most
+        counts[r["cell"]], least_along[r["cell"]], most_along[r["cell"]] = r["n"], r["least"], r["most"]
+    enough = {d: max(probe_least, probe_share * sum(b.held for b in bs) * tables) for d, bs in of_dim.items()}
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = probes_of(_matrix(batch.column(1), dim), counts, enough, tables)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(found))], names=["cid", "cell"])
+            for (dim,), rows_at in parted(batch, "dim"):
+                probed = probes_of(_matrix(batch.column(1).take(pa.array(rows_at)), dim), of_dim[dim], counts, enough[dim], tables)
+                at = pa.array(np.repeat(rows_at, [len(f) for f in probed]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(probed))], names=["cid", "cell"])
 
-    probes = stored(classes.where("asked").select("cid", "v").mapInArrow(probing, "cid long, cell int"), "probes")
-    asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
-    parts = [(int(c), -(-int(counts[c]) // BLOCK_CANDIDATES), -(-q // BLOCK_QUERIES)) for c, q in asked.items()]
-    # broadcast: a row for each cell at most
-    blocks = F.broadcast(spark.createDataFrame(parts, "cell int, c_parts int, q_parts int"))
-    # new names on each side of the cogroup, as both come from the same classes
-    vector = lambda name: classes.select(F.col("cid").alias("cid"), F.col("v").alias(name))
-    of = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    candidates = cells.join(blocks, "cell").select("cid", "cell", of(F.col("c_parts")).alias("c"), spread(F.col("q_parts")).alias("q")).join(vector("cv"), "cid").select(*[F.col(c).alias(c) for c in ("cid", "cell", "c", "q", "cv")])
-    queries = probes.join(blocks, "cell").select("cid", "cell", of(F.col("q_parts")).alias("q"), spread(F.col("c_parts")).alias("c")).join(vector("qv"), "cid").select(*[F.col(c).alias(c) for c in ("cid", "cell", "c", "q", "qv")])
+    probes = stored(classes.where("asked").select("cid", "v", "dim").mapInArrow(probing, "cid long, cell int"), "probes")
+    pairs = _reranked(classes, cells.select("cid", "cell"), probes.withColumn("floor", F.lit(float("-inf"))), counts, k)
+    single = pairs.groupBy("qid", "cid").agg(F.max("score").alias("score"))
+    # the floor of each query: its last score once it has enough classes
+    best = single.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
+    floors = best.groupBy("qid").agg(F.when(F.count("*") > k, F.min("score")).alias("floor"))
+    asking = classes.where("asked").select("cid", "v", "dim").join(floors.withColumnRenamed("qid", "cid"), "cid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    chunk_of, held = np.full(end, -1, np.int32), []
+    for i, band in enumerate(bands):
+        if not i or bands[i - 1].dim != band.dim:
+            held.append(0)
+        for c in range(band.base, band.base + 2 * padded_size(band.dim)):
+            if counts[c]:
+                if held[-1] and held[-1] + counts[c] > CHUNK:
+                    held.append(0)
+                held[-1] += int(counts[c])
+                chunk_of[c] = len(held) - 1
 
-    def rerank(asking: pa.Table, found: pa.Table) -> pa.Table:
-        made = {"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)}
-        if asking.num_rows and found.num_rows:
-            q, c = _matrix(asking.column("qv"), dim), _matrix(found.column("cv"), dim)
-            near = q @ c.T
-            n = min(k + 1, len(c))
-            best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            # whatever ties with the last stays in
-            worst = np.take_along_axis(near, best, axis=1).min(axis=1) - 1e-12
-            qi, ci = np.nonzero(near >= worst[:, None])
-            exact = np.zeros(len(qi))
-            for d in range(dim):  # in order of components, so that the sum doesn't hang on the block
-                exact += q[qi, d] * c[ci, d]
-            made = {"qid": asking.column("cid").to_numpy()[qi], "cid": found.column("cid").to_numpy()[ci], "score": exact}
-        return pa.table(made)
+    def going_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (dim,), rows_at in parted(batch, "dim"):
+                floor = batch.column(3).to_numpy()[rows_at]
+                chunks = reaching(_matrix(batch.column(1).take(pa.array(rows_at)), dim), floor, of_dim[dim], chunk_of, least_along, most_along)
+                at = pa.array(np.repeat(rows_at, [len(f) for f in chunks]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(chunks)), batch.column(3).take(at)], names=["cid", "cell", "floor"])
 
-    pairs = queries.groupBy("cell", "q", "c").cogroup(candidates.groupBy("cell", "q", "c")).applyInArrow(rerank, "qid long, cid long, score double")
-    single = pairs.groupBy("qid", "cid").agg(F.max("score").alias("score"))
+    def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = chunk_of[batch.column(1).to_numpy()]
+            kept = pa.array(np.flatnonzero(chunk >= 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array(chunk).take(kept)], names=["cid", "cell"])
+
+    further = stored(asking.mapInArrow(going_on, "cid long, cell int, floor double"), "further")
+    # cells of the first table hold every class once, so these pairs are all that reach a query's floor
+    single = _reranked(classes, cells.select("cid", "cell").mapInArrow(in_chunks, "cid long, cell int"), further, np.array(held), k)
     least = F.element_at("ids", 1)
     ranked = single.join(classes.select("cid", "ids"), "cid").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), least))).where(F.col("r") <= k + 1)
     # at most (k + 1) classes of k + 1 ids for a query class

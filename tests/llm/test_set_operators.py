@@ -228,6 +228,26 @@ def test_neighbours_recall_by_hashing(spark):
     assert hits / (60 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("spread", ["outlier", "lognormal", "wide"])
+def test_neighbours_of_unequal_norms(spark, spread):
+    """Few first probes; norms that one scale for all would hide in the added component."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if spread == "outlier":
+        x[7] *= 3
+    else:
+        x *= np.exp(rng.normal(size=(3000, 1)) * {"lognormal": 0.5, "wide": 40}[spread])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(neighbours.nearest(df, 50, probe_least=0).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    scores = x[::50] @ x.T
+    for k, q in enumerate(range(0, 3000, 50)):
+        scores[k, q] = -np.inf
+        assert got[q] == np.argsort(-scores[k], kind="stable")[:20].tolist()
+
+
 def test_empty_sets(none):
     path = public_tokenizers.path(queries.WORD_VOCABULARY)
     for df in (simhash.near_duplicates(none), sharding.kd_shards(none), packing.pack(none, path)):
