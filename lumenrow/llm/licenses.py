@@ -8,6 +8,8 @@ diagonals of one template are merged (words put in or left out move a match to
 the next diagonal), and a span stands if enough of its template was found.
 
 Phrases (templates of ``exact``) must be met word for word on one diagonal.
+Names of licenses are short templates of short k-grams; what tells one license
+from another in a template is marked and must be met unchanged.
 Everything runs as DataFrame and SQL functions.
 """
 
@@ -18,22 +20,56 @@ from pyspark.sql import functions as F
 
 # Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-# Opening passages of public licenses and their labels.
+# Passages of public licenses, openings first, and their labels. Words in braces must be met unchanged.
 TEMPLATES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
+    ("licensed under the {apache license} version 2 0 the license you may not use this file except in compliance with the license", "apache-2.0"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
-    ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0-1.0"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0"),
+    ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "apache-2.0"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a {particular purpose and noninfringement}", "mit"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "isc"),
+    ("is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {gnu general public license} for more details", "gpl"),
+    ("is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {gnu lesser general public license} for more details", "lgpl"),
+    ("the licenses for most software are designed to take away your freedom to share and change it by contrast the {gnu general public license} is intended to guarantee your freedom to share and change free software", "gpl-2.0"),
+    ("the {gnu general public license} is a free copyleft license for software and other kinds of works", "gpl-3.0"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2.0"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unlicense"),
+    ("the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights", "cc0-1.0"),
 )
+# One-line references and their labels. Words in braces must be met unchanged, with what lies between.
+NAMES = (
+    *((f"licensed under the {{{name}}} version {{{v}}}", label) for name, v, label in (
+        ("apache license", "2 0", "apache-2.0"), ("apache license", "2", "apache-2.0"), ("mozilla public license", "2 0", "mpl-2.0"),
+        *((f"gnu {kind}general public license", v, f"{short}gpl-{v.replace(' ', '.') if ' ' in v else v + '.0'}") for kind, short in (("", ""), ("lesser ", "l"), ("affero ", "a")) for v in ("2", "2 1", "3") if (short, v) not in (("", "2 1"), ("l", "2"), ("a", "2"), ("a", "2 1"))),
+    )),
+    *((f"{{{text}}}", label) for label, texts in (
+        ("mit", ("the mit license", "under mit license", "under an mit license", "is mit licensed", "mit license copyright", "identifier mit")),
+        ("apache-2.0", ("apache license 2 0", "apache license v2", "apache license v2 0", "apache software license 2 0", "apache 2 0 license", "identifier apache 2 0")),
+        ("bsd", ("bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd")),
+        ("isc", ("the isc license", "under isc license", "isc license copyright", "identifier isc")),
+        ("gpl-2.0", ("gnu general public license 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gnu gplv2", "identifier gpl 2 0")),
+        ("gpl-3.0", ("gnu general public license 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gnu gplv3", "identifier gpl 3 0")),
+        ("lgpl-2.1", ("gnu lesser general public license 2 1", "gnu lesser general public license v2 1", "identifier lgpl 2 1")),
+        ("lgpl-3.0", ("gnu lesser general public license 3", "gnu lesser general public license v3", "identifier lgpl 3 0")),
+        ("agpl-3.0", ("gnu affero general public license 3", "gnu affero general public license v3", "identifier agpl 3 0")),
+        ("mpl-2.0", ("mozilla public license 2 0", "mozilla public license v2 0", "mozilla public license v 2 0", "identifier mpl 2 0")),
+        *((f"cc-by{'-' * bool(kind)}{kind.replace(' ', '-')}-4.0", (" ".join(f"cc by {kind} 4 0".split()), " ".join(f"creative commons attribution {long} 4 0".split()))) for kind, long in (("", ""), ("nc", "noncommercial"), ("sa", "sharealike"), ("nd", "noderivatives"), ("nc sa", "noncommercial sharealike"), ("nc nd", "noncommercial noderivatives"))),
+        ("unlicense", ("the unlicense", "identifier unlicense")),
+        ("cc0-1.0", ("cc0 1 0", "creative commons zero")),
+    ) for text in texts),
+)
+#: Words of a k-gram; names are too short for the templates'.
 PHRASE_GRAM, TEMPLATE_GRAM = 2, 4
+NAME_GRAM = PHRASE_GRAM
 #: Diagonals this near are one match.
 NEAR = 3
 #: Share of a template's k-grams that a span needs.
@@ -52,15 +88,38 @@ def _grams(hashes: str, k: int) -> str:
     return f"IF(size({hashes}) >= {k}, transform(sequence(1, size({hashes}) - {k - 1}), i -> xxhash64({k}, {parts})), CAST(array() AS ARRAY<BIGINT>))"
 
 
-def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
-    """gram, template, at, label, exact and grams (how many the template has), one row per template k-gram. Its size is the templates'."""
-    made = [F.struct(F.lit(i).alias("template"), F.lit(text).alias("text"), F.lit(label).alias("label"), F.lit(i < len(phrases)).alias("exact")) for i, (text, label) in enumerate((*phrases, *templates))]
-    rows = spark.range(1).select(F.explode(F.array(*made)).alias("t")).select("t.*").withColumn("h", F.expr(f"transform({_words('text')}, w -> xxhash64(w))"))
-    grams = F.when(F.col("exact"), F.expr(_grams("h", PHRASE_GRAM))).otherwise(F.expr(_grams("h", TEMPLATE_GRAM)))
-    return rows.withColumn("g", grams).select("template", "label", "exact", F.size("g").alias("grams"), F.posexplode("g").alias("at", "gram"))
+def _marked(text: str, k: int) -> tuple[str, list[int]]:
+    """A template without its braces, and the k-grams it must be met with: those within braces, or the one that ends with shorter ones."""
+    words, needed, start = [], [], 0
+    for w in text.split():
+        if w.startswith("{"):
+            start = len(words)
+        words.append(w.strip("{}"))
+        if w.endswith("}"):
+            needed += range(max(0, min(start, len(words) - k)), len(words) - k + 1)
+    return " ".join(words), sorted({*needed})
 
 
-def license_scan(df: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, names: tuple = NAMES) -> DataFrame:
+    """gram, template, at, label, exact, k, grams (how many the template has), needed and bit (marks of those it must be met with), one row per template k-gram. Its size is the templates'."""
+    lines = []
+    for i, (text, label) in enumerate((*phrases, *templates, *names)):
+        k = PHRASE_GRAM if i < len(phrases) else TEMPLATE_GRAM if i < len(phrases) + len(templates) else NAME_GRAM
+        plain, needed = _marked(text, k)
+        lines.append(f"{plain}\t{label}\t{i < len(phrases)}\t{k}\t{' '.join(map(str, needed))}")
+    # one literal: a row of literals for each template would be compiled to code of that size
+    rows = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(lines)), "\n")).alias("template", "line")).withColumn("f", F.split("line", "\t"))
+    field = lambda i: F.element_at("f", i)
+    must = F.transform(F.filter(F.split(field(5), " "), lambda w: w != ""), lambda w: w.cast("int"))
+    rows = rows.select("template", field(1).alias("text"), field(2).alias("label"), field(3).cast("boolean").alias("exact"), field(4).cast("int").alias("k"), must.alias("must"))
+    rows = rows.withColumn("h", F.expr(f"transform({_words('text')}, w -> xxhash64(w))"))
+    grams = F.when(F.col("k") == PHRASE_GRAM, F.expr(_grams("h", PHRASE_GRAM))).otherwise(F.expr(_grams("h", TEMPLATE_GRAM)))
+    listed = rows.withColumn("g", grams).select("template", "label", "exact", "k", "must", F.size("g").alias("grams"), F.posexplode("g").alias("at", "gram"))
+    bit = F.expr("CASE WHEN array_position(must, at) > 0 THEN shiftleft(1L, CAST(array_position(must, at) AS INT) - 1) ELSE 0L END")
+    return listed.select("template", "label", "exact", "k", "grams", "at", "gram", F.expr("shiftleft(1L, size(must)) - 1L").alias("needed"), bit.alias("bit"))
+
+
+def license_scan(df: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", names: tuple = NAMES) -> DataFrame:
     """For every row doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``spans``.
 
     n_base counts the places of phrases, first_word and last_word are the least
@@ -78,24 +137,23 @@ def license_scan(df: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEM
     size = F.size("h")
     grams = docs.select("rid", "doc_id", size.cast("long").alias("n_words"), F.greatest(size - (PHRASE_GRAM - 1), F.lit(0)).alias("n_short"), F.expr(f"concat(array(0L), {_grams('h', PHRASE_GRAM)}, {_grams('h', TEMPLATE_GRAM)})").alias("g"))
     rolling = grams.select("rid", "doc_id", "n_words", "n_short", F.posexplode("g").alias("i", "gram"))
-    held = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("exact"), F.lit(1).alias("grams"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"))
+    held = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("exact"), F.lit(PHRASE_GRAM).alias("k"), F.lit(1).alias("grams"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("needed"), F.lit(0).cast("long").alias("bit"))
     # broadcast: a row for each k-gram of the templates, which don't grow with the data
-    hits = rolling.join(F.broadcast(template_table(spark, phrases, templates).unionByName(held)), "gram")
-    # index in g -> word position: phrases' k-grams first, then the templates'
-    word = F.when(F.col("template") < 0, 0).when(F.col("exact"), F.col("i") - 1).otherwise(F.col("i") - 1 - F.col("n_short"))
-    placed = hits.select("rid", "doc_id", "n_words", "template", "label", "exact", "grams", word.alias("word"), (word - F.col("at")).alias("diagonal")).repartition("rid")
-    keys = ["rid", "doc_id", "n_words", "template", "label", "exact", "grams"]
-    voted = placed.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), F.min("word").alias("first"), F.max("word").alias("last"))
-    by_template = F.struct("diagonal", "votes", "first", "last")
+    hits = rolling.join(F.broadcast(template_table(spark, phrases, templates, names).unionByName(held)), "gram")
+    # index in g -> word position: the short k-grams first, then the templates'
+    word = F.when(F.col("template") < 0, 0).when(F.col("k") == PHRASE_GRAM, F.col("i") - 1).otherwise(F.col("i") - 1 - F.col("n_short"))
+    placed = hits.select("rid", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "needed", "bit", word.alias("word"), (word - F.col("at")).alias("diagonal")).repartition("rid")
+    keys = ["rid", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "needed"]
+    voted = placed.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), F.min("word").alias("first"), F.max("word").alias("last"), F.bit_or("bit").alias("met"))
+    by_template = F.struct("diagonal", "votes", "first", "last", "met")
     listed = voted.groupBy(*keys).agg(F.sort_array(F.collect_list(by_template)).alias("d"))
     # neighbours in order of diagonal fall into one match while the gap stays small
-    merged = F.expr(f"""aggregate(d, CAST(array() AS ARRAY<STRUCT<diagonal: INT, votes: BIGINT, first: INT, last: INT>>),
+    merged = F.expr(f"""aggregate(d, CAST(array() AS ARRAY<STRUCT<diagonal: INT, votes: BIGINT, first: INT, last: INT, met: BIGINT>>),
         (acc, x) -> IF(size(acc) > 0 AND NOT exact AND x.diagonal - element_at(acc, -1).diagonal <= {NEAR},
-            array_append(slice(acc, 1, size(acc) - 1), struct(x.diagonal AS diagonal, element_at(acc, -1).votes + x.votes AS votes, least(element_at(acc, -1).first, x.first) AS first, greatest(element_at(acc, -1).last, x.last) AS last)),
+            array_append(slice(acc, 1, size(acc) - 1), struct(x.diagonal AS diagonal, element_at(acc, -1).votes + x.votes AS votes, least(element_at(acc, -1).first, x.first) AS first, greatest(element_at(acc, -1).last, x.last) AS last, element_at(acc, -1).met | x.met AS met)),
             array_append(acc, x)))""")
-    k = f"IF(exact, {PHRASE_GRAM}, {TEMPLATE_GRAM})"
-    stands = F.expr(f"filter(transform(m, x -> struct(label, x.first AS first, x.last + {k} AS end, least(1D, x.votes / grams) AS share)), x -> IF(exact, x.share = 1D, x.share >= {coverage}))")
-    spans = listed.withColumn("m", merged).withColumn("s", F.when(F.col("template") >= 0, stands))
+    stands = F.expr(f"filter(transform(m, x -> struct(label, x.first AS first, x.last + k AS end, least(1D, x.votes / grams) AS share, x.met AS met)), x -> IF(exact, x.share = 1D, x.share >= {coverage} AND x.met = needed))")
+    spans = listed.withColumn("m", merged).withColumn("s", F.when(F.col("template") >= 0, F.transform(stands, lambda x: x.dropFields("met"))))
     per = spans.groupBy("rid", "doc_id", "n_words").agg(F.flatten(F.collect_list(F.when(F.col("exact"), F.col("s")))).alias("base"), F.flatten(F.collect_list(F.when(~F.col("exact"), F.col("s")))).alias("more"))
     joined = lambda c: F.expr(f"array_join(array_sort(array_distinct(transform({c}, x -> x.label))), ',')")
     starts: Column = F.expr("transform(base, x -> CAST(x.first AS BIGINT))")

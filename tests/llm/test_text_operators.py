@@ -81,6 +81,21 @@ def test_license_templates_with_edits(spark):
     assert rows[2]["labels"] == ""
 
 
+def test_license_names_and_bodies(spark):
+    """One-line references, also with words left out, and bodies without their opening."""
+    want = {
+        "Released under the MIT License.": "mit", "This is licensed under the MIT license": "mit", "licensed under the Apache License 2.0": "apache-2.0", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0", "CC BY-NC 3.0": "cc-by",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "under the GNU General Public License, version 2": "gpl,gpl-2.0", "licensed under the GNU Lesser General Public License version 2.1": "gpl,lgpl-2.1",
+        "under the Mozilla Public License 2.0": "mpl-2.0", "the BSD 3-Clause license": "bsd", "komm mit License Key": "", "licensed under the Acme License": "",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": "mit",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.": "gpl,lgpl",
+    }
+    rows = by_id(licenses.license_scan(spark.createDataFrame([(i, f"some words, {t} and more") for i, t in enumerate(want)], "doc_id long, text string")))
+    assert {t: r["labels"] for t, r in zip(want, rows, strict=True)} == want
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_media(table, request):
     df = request.getfixturevalue(table)
