@@ -34,9 +34,8 @@ from .common import stored
 
 K = 20
 TABLES = 8
-#: First probes hold this share of all tables' entries, or PROBE_LEAST entries if that is more. Results don't depend on it.
+#: First probes hold this share of all tables' entries, whatever the size. Results don't depend on it.
 PROBE_SHARE = 0.06
-PROBE_LEAST = 40_000
 #: Rows of a cell, and queries of a cell, that one task takes together.
 BLOCK_CANDIDATES, BLOCK_QUERIES = 8192, 2048
 #: Neighbouring cells of the first table are put together up to so many vectors when a query goes on.
@@ -195,7 +194,7 @@ def _reranked(classes: DataFrame, cells: DataFrame, probes: DataFrame, counts: n
     return queries.groupBy("cell", "q", "c").cogroup(candidates.groupBy("cell", "q", "c")).applyInArrow(rerank, "qid long, cid long, score double")
 
 
-def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probe_share: float = PROBE_SHARE, probe_least: int = PROBE_LEAST) -> DataFrame:
+def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probe_share: float = PROBE_SHARE, probe_least: int = 0) -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k nearest other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller

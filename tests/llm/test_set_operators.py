@@ -1,6 +1,7 @@
 """Operators that look at many rows together, against brute force."""
 
 import hashlib
+import inspect
 import math
 import zlib
 
@@ -248,6 +249,14 @@ def test_neighbours_of_unequal_norms(spark, spread):
         assert got[q] == np.argsort(-scores[k], kind="stable")[:20].tolist()
 
 
+def test_neighbours_have_one_stopping_rule(spark):
+    """No least number of first probes makes small tables a full scan; what the bound leaves is the same for any share."""
+    assert inspect.signature(neighbours.nearest).parameters["probe_least"].default == 0
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    want = sorted(neighbours.nearest(df, 20, probe_share=1.0).collect())
+    assert len(want) == 20 * df.where("vec_id % 20 = 0").count() and sorted(neighbours.nearest(df, 20, probe_share=0.001).collect()) == want
+
+
 def test_empty_sets(none):
     path = public_tokenizers.path(queries.WORD_VOCABULARY)
     for df in (simhash.near_duplicates(none), sharding.kd_shards(none), packing.pack(none, path)):
