@@ -198,21 +198,19 @@ def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vecto
     """query_id, rank, vec_id and score: for each row whose id is divisible by ``every`` its k nearest other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller
-    vec_id; a query gets all other rows if they are fewer than k. Rows with a
-    null id, and vectors that are null, empty, zero, of another length than the
-    longest, or that hold null or non-finite components take no part. Rows that
-    repeat id and vector count once. An empty table gives an empty result.
+    vec_id; a query gets all other rows if they are fewer than k. Vectors of
+    each length are searched by themselves. Rows with a null id, and vectors
+    that are null, empty, zero, or that hold null or non-finite components take
+    no part. Rows that repeat id and vector count once. An empty table gives an
+    empty result.
     """
     spark = df.sparkSession
     v = F.col("v")
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(fine)
     rows = rows.select("vec_id", "v", F.xxhash64("v").alias("k1"), F.hash("v", F.lit(1)).alias("k2"))
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
     out = "query_id long, rank int, vec_id long, score double"
-    if dim is None:
-        return spark.createDataFrame([], out)
-    rows = stored(rows.where(F.size("v") == dim), "vectors")
+    rows = stored(rows, "vectors")
     # dense_rank: Spark drops all but the first k + 1 ids of a class before the shuffle, however often a vector is repeated
     first = rows.select("vec_id", "k1", "k2").withColumn("r", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     ids = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))

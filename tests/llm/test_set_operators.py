@@ -257,6 +257,17 @@ def test_neighbours_have_one_stopping_rule(spark):
     assert len(want) == 20 * df.where("vec_id % 20 = 0").count() and sorted(neighbours.nearest(df, 20, probe_share=0.001).collect()) == want
 
 
+def test_neighbours_of_several_lengths(spark):
+    """A stray longer vector takes no other away; each length is searched by itself."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([8] * 120 + [5] * 90 + [9])]
+    got = {}
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute_neighbours(rows[:120], 10, 20) | brute_neighbours(rows[120:210], 10, 20)
+    assert got == want
+
+
 def test_empty_sets(none):
     path = public_tokenizers.path(queries.WORD_VOCABULARY)
     for df in (simhash.near_duplicates(none), sharding.kd_shards(none), packing.pack(none, path)):
