@@ -1,13 +1,16 @@
-"""Secret scans: fixed patterns, and character Markov models for what they miss.
+"""Secret scans: fixed patterns, and character Markov models for random strings of any form.
 
 Base spans are the leftmost non-overlapping matches of three patterns. Beside
 them, runs of key-like characters are scored by two first-order Markov models
 over characters, one of random strings and one of ordinary identifiers, both
-trained from labelled samples; a run whose log-likelihood ratio per character
-exceeds a threshold and that meets no base span is a span of kind ``markov``.
-
-Everything runs as DataFrame and SQL functions. The trained table has one
-ratio for each pair of characters, so it is bounded by the alphabet alone.
+trained from labelled samples; a run whose log-likelihood ratio per pair of
+characters exceeds a threshold is a span of kind ``markov``. The models judge
+every run by itself, whether or not it lies in a base span: what the patterns
+know serves as an independent test of the models, and what they don't is added.
+
+Everything runs as DataFrame and SQL functions, in time proportional to the
+text. The trained table has one ratio for each pair of characters, so it is
+bounded by the alphabet alone.
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters of the models; anything else ends a candidate.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-#: A candidate is a whole run of these, of 20 or more, with a digit or a change of case.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: A candidate is a whole run of these, of 16 or more, with a digit or a change of case.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Mean log-likelihood ratio of a character pair above which a run is taken as random.
 THRESHOLD = 0.4
 SMOOTHING = 0.5
 REDACTED = "[SECRET]"
+#: Code points of the segments that a text is cut into before parts of it are taken out.
+SEGMENT = 4096
 
 # Parts of ordinary identifiers.
 PARTS = (
@@ -91,26 +96,56 @@ def _sql(text: str) -> str:
     return "r'" + text + "'" if "'" not in text else '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
-def _spans(pattern: str, kind: str, group: int = 0, least: int = 0) -> str:
-    """SQL: the matches in ``lr_text`` as an array of (start, rank, end), in code points.
+_NONE = "CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, end: INT>>)"
+
+
+def _running(values: str, merge: str) -> str:
+    """SQL: the running sum or maximum (``merge`` of x and y, with 0 as its neutral element) of an int array, by doubling.
+
+    An accumulator that grows by one item a step is copied each time; here are
+    as many steps as the array's length has bits.
+    """
+    shifted = "concat(array_repeat(0, least(shiftleft(1, k), size(acc))), slice(acc, 1, greatest(size(acc) - shiftleft(1, k), 0)))"
+    return f"aggregate(sequence(0, CAST(ceil(log2(greatest(size({values}), 1))) AS INT)), {values}, (acc, k) -> zip_with(acc, {shifted}, (x, y) -> {merge}))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _places(pattern: str, kind: str) -> str:
+    """SQL: (start, rank, end) in code points of the matches ``found`` in ``lr_text``.
 
     The text is split at the matches, so lengths of what lies between and of
     the matches themselves add up to the places.
     """
-    p, rank = _sql(pattern), KINDS.index(kind)
-    found = f"""aggregate(
-        zip_with(slice(split(lr_text, {p}, -1), 1, size(regexp_extract_all(lr_text, {p}, 0))), zip_with(regexp_extract_all(lr_text, {p}, 0), regexp_extract_all(lr_text, {p}, {group}), (w, v) -> struct(length(w) AS n, length(v) AS part)),
-                 (gap, m) -> struct(length(gap) AS gap, m.n AS n, m.part AS part)),
-        struct(0 AS at, CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, end: INT>>) AS out),
-        (acc, m) -> struct(acc.at + m.gap + m.n AS at, IF(m.part >= {least}, array_append(acc.out, struct(acc.at + m.gap AS start, {rank} AS rank, acc.at + m.gap + m.n AS end)), acc.out) AS out),
-        acc -> acc.out)"""
-    return f"CASE WHEN lr_text RLIKE {p} THEN {found} ELSE CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, end: INT>>) END"
+    steps = f"zip_with(slice(split(lr_text, {_sql(pattern)}, -1), 1, size(found)), found, (gap, w) -> length(gap) + length(w))"
+    return _let("steps", steps, f"zip_with({_running('steps', 'x + y')}, found, (last, w) -> struct(last - length(w) AS start, {KINDS.index(kind)} AS rank, last AS end))")
 
 
-def _ratio() -> str:
+def _spans(pattern: str, kind: str, group: int = 0, least: int = 0) -> str:
+    """SQL: the matches in ``lr_text`` whose ``group`` has ``least`` characters, as an array of (start, rank, end)."""
+    p = _sql(pattern)
+    places = _places(pattern, kind)
+    if least:
+        places = f"transform(filter(zip_with({places}, regexp_extract_all(lr_text, {p}, {group}), (s, v) -> struct(s AS s, length(v) AS n)), x -> x.n >= {least}), x -> x.s)"
+    return f"CASE WHEN lr_text RLIKE {p} THEN {_let('found', f'regexp_extract_all(lr_text, {p}, 0)', places)} ELSE {_NONE} END"
+
+
+def _ratio(run: str) -> str:
+    """SQL: the mean log-likelihood ratio of a run's pairs of characters; a run is cut into characters once."""
     n = len(ALPHABET)
-    at = "locate(substr(t, {0}, 1), '" + ALPHABET + "')"
-    return f"aggregate(sequence(2, length(t)), 0D, (acc, i) -> acc + element_at(lr_ratios, ({at.format('i - 1')} - 1) * {n} + {at.format('i')})) / (length(t) - 1)"
+    codes = f"transform(split(rtrim('=', {run}), ''), c -> locate(c, '{ALPHABET}'))"
+    pairs = f"zip_with(slice(codes, 1, size(codes) - 1), slice(codes, 2, size(codes) - 1), (a, b) -> element_at(lr_ratios, (a - 1) * {n} + b))"
+    return _let("codes", codes, f"aggregate({pairs}, 0D, (acc, x) -> acc + x) / (size(codes) - 1)")
+
+
+def _random_spans(threshold: float) -> str:
+    """SQL: the candidates in ``lr_text`` that the models find random."""
+    p = _sql(CANDIDATE)
+    judged = f"filter(zip_with({_places(CANDIDATE, 'markov')}, found, (s, w) -> struct(s AS s, {_ratio('w')} AS ratio)), x -> x.ratio > {threshold})"
+    return f"CASE WHEN lr_text RLIKE {p} THEN {_let('found', f'regexp_extract_all(lr_text, {p}, 0)', f'transform({judged}, x -> x.s)')} ELSE {_NONE} END"
 
 
 def scan(df: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -118,12 +153,9 @@ def scan(df: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_
 
     A null text counts as empty and has no span. Columns of df keep their names.
     """
-    scored = _ratio()
-    both = df.withColumn("lr_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("lr_base", F.array_sort(F.concat(F.expr(_spans(ASSIGN, "assign", 2, ASSIGN_VALUE)), F.expr(_spans(ACCESS, "access")), F.expr(_spans(HEX, "hex"))))).withColumn("lr_more", F.expr(_spans(CANDIDATE, "markov")))
-    free = "filter(lr_more, m -> NOT exists(lr_base, b -> b.start < m.end AND m.start < b.end))"
-    judged = F.expr(f"filter({free}, m -> exists(array(rtrim('=', substr(lr_text, m.start + 1, m.end - m.start))), t -> {scored} > {threshold}))")
-    kept = F.when(F.size("lr_more") > 0, judged).otherwise(F.col("lr_more"))
-    return both.withColumn("lr_ratios", F.lit(ratios)).withColumn("lr_spans", F.array_sort(F.concat("lr_base", kept))).drop("lr_ratios", "lr_more", "lr_text")
+    made = df.withColumn("lr_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("lr_ratios", F.lit(ratios))
+    made = made.withColumn("lr_base", F.sort_array(F.concat(F.expr(_spans(ASSIGN, "assign", 2, ASSIGN_VALUE)), F.expr(_spans(ACCESS, "access")), F.expr(_spans(HEX, "hex")))))
+    return made.withColumn("lr_spans", F.sort_array(F.concat("lr_base", F.expr(_random_spans(threshold))))).drop("lr_ratios", "lr_text")
 
 
 def _joined(spans: str) -> Column:
@@ -135,7 +167,8 @@ def secret_spans(df: DataFrame, samples: DataFrame | None = None, threshold: flo
     """For every row doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_markov.
 
     Spans are kind:start:end in code points, end exclusive, by start and then
-    kind. Null and empty texts have none. Repeated rows and null doc_ids stay;
+    kind; a random run within a base span is a span of its own. Null and empty
+    texts have none. Repeated rows and null doc_ids stay;
     an empty table gives an empty result; other columns aren't read.
     """
     ratios = train(labelled_samples(df.sparkSession) if samples is None else samples)
@@ -151,9 +184,15 @@ def redact(df: DataFrame, samples: DataFrame | None = None, threshold: float = T
     """
     ratios = train(labelled_samples(df.sparkSession) if samples is None else samples)
     found = scan(df, ratios, threshold, text_col)
-    hidden = f"""aggregate(lr_spans, struct('' AS out, 0 AS at),
-        (acc, s) -> IF(s.start < acc.at, struct(acc.out AS out, greatest(acc.at, s.end) AS at), struct(concat(acc.out, substr(`{text_col}`, acc.at + 1, s.start - acc.at), '{mark}') AS out, s.end AS at)),
-        acc -> concat(acc.out, substr(`{text_col}`, acc.at + 1)))"""
+    text = f"`{text_col}`"
+    # what is kept, as (a, b): what lies before each span that begins past all earlier ones, and the rest
+    before = "concat(array(0), slice(ends, 1, size(ends) - 1))"
+    gaps = f"filter(zip_with({before}, lr_spans, (a, s) -> struct(a AS a, s.start AS b)), g -> g.a <= g.b)"
+    kept = _let("ends", _running("transform(lr_spans, s -> s.end)", "greatest(x, y)"), f"concat({gaps}, array(struct(element_at(ends, -1) AS a, length({text}) AS b)))")
+    seg = lambda k: f"coalesce(get(segs, g.{k} div {SEGMENT}), '')"
+    part = f"""IF(g.a div {SEGMENT} = g.b div {SEGMENT}, substr({seg("a")}, g.a % {SEGMENT} + 1, g.b - g.a),
+        concat(substr({seg("a")}, g.a % {SEGMENT} + 1), array_join(slice(segs, CAST(g.a div {SEGMENT} AS INT) + 2, CAST(g.b div {SEGMENT} - g.a div {SEGMENT} AS INT) - 1), ''), substr({seg("b")}, 1, g.b % {SEGMENT})))"""
+    hidden = _let("segs", f"regexp_extract_all({text}, r'(?s).{{1,{SEGMENT}}}', 0)", f"array_join(transform({kept}, g -> {part}), '{mark}')")
     changed = found.withColumn(text_col, F.when(F.size("lr_spans") > 0, F.expr(hidden)).otherwise(F.col(text_col)))
     if length_col is not None:
         changed = changed.withColumn(length_col, F.when(F.size("lr_spans") > 0, F.char_length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
