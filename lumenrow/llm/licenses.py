@@ -2,10 +2,12 @@
 
 Words are lower-cased runs of letters, digits and characters beyond ASCII. Each
 document's rolling k-gram hashes are joined to the positions at which the
-templates have them. A hit votes for a diagonal: its position in the document
-less that in the template. Votes are added up by diagonal, neighbouring
-diagonals of one template are merged (words put in or left out move a match to
-the next diagonal), and a span stands if enough of its template was found.
+templates have them, and the words of each hit are held against the template's.
+A hit votes for a diagonal: its position in the document less that in the
+template. Votes are added up by diagonal, neighbouring diagonals of one template
+are merged (words put in or left out move a match to the next diagonal), and a
+span is verified by the different positions of its template that were met: it
+stands if they are enough.
 
 Phrases (templates of ``exact``) must be met word for word on one diagonal.
 Names of licenses are short templates of short k-grams; what tells one license
@@ -15,7 +17,7 @@ Everything runs as DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Phrases and their labels.
@@ -78,8 +80,8 @@ _CUT = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def _words(text: str) -> str:
-    """SQL: the words of a text. Lower-casing beyond ASCII neither moves a word's bounds nor makes it one of a template's."""
-    return f"filter(split(lower({text}), '{_CUT}', -1), w -> w != '')"
+    """SQL: the words of a text. Lower-casing beyond ASCII doesn't move a word's bounds; the one sign that would become an ASCII letter, U+212A, is put aside first."""
+    return f"filter(split(lower(replace({text}, '\u212a', '\ufffd')), '{_CUT}', -1), w -> w != '')"
 
 
 def _grams(hashes: str, k: int) -> str:
@@ -101,7 +103,7 @@ def _marked(text: str, k: int) -> tuple[str, list[int]]:
 
 
 def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, names: tuple = NAMES) -> DataFrame:
-    """gram, template, at, label, exact, k, grams (how many the template has), needed and bit (marks of those it must be met with), one row per template k-gram. Its size is the templates'."""
+    """gram, its words, template, at, label, exact, k, grams (how many the template has), needed and bit (marks of those it must be met with), one row per template k-gram. Its size is the templates'."""
     lines = []
     for i, (text, label) in enumerate((*phrases, *templates, *names)):
         k = PHRASE_GRAM if i < len(phrases) else TEMPLATE_GRAM if i < len(phrases) + len(templates) else NAME_GRAM
@@ -112,11 +114,11 @@ def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tup
     field = lambda i: F.element_at("f", i)
     must = F.transform(F.filter(F.split(field(5), " "), lambda w: w != ""), lambda w: w.cast("int"))
     rows = rows.select("template", field(1).alias("text"), field(2).alias("label"), field(3).cast("boolean").alias("exact"), field(4).cast("int").alias("k"), must.alias("must"))
-    rows = rows.withColumn("h", F.expr(f"transform({_words('text')}, w -> xxhash64(w))"))
+    rows = rows.withColumn("w", F.expr(_words("text"))).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     grams = F.when(F.col("k") == PHRASE_GRAM, F.expr(_grams("h", PHRASE_GRAM))).otherwise(F.expr(_grams("h", TEMPLATE_GRAM)))
-    listed = rows.withColumn("g", grams).select("template", "label", "exact", "k", "must", F.size("g").alias("grams"), F.posexplode("g").alias("at", "gram"))
+    listed = rows.withColumn("g", grams).select("template", "label", "exact", "k", "must", "w", F.size("g").alias("grams"), F.posexplode("g").alias("at", "gram"))
     bit = F.expr("CASE WHEN array_position(must, at) > 0 THEN shiftleft(1L, CAST(array_position(must, at) AS INT) - 1) ELSE 0L END")
-    return listed.select("template", "label", "exact", "k", "grams", "at", "gram", F.expr("shiftleft(1L, size(must)) - 1L").alias("needed"), bit.alias("bit"))
+    return listed.select("template", "label", "exact", "k", "grams", "at", "gram", F.expr("array_join(slice(w, at + 1, k), ' ')").alias("said"), F.expr("shiftleft(1L, size(must)) - 1L").alias("needed"), bit.alias("bit"))
 
 
 def license_scan(df: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", names: tuple = NAMES) -> DataFrame:
@@ -126,39 +128,42 @@ def license_scan(df: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEM
     and greatest of their starts in words from 0 (null without any).
     base_labels has the phrases' labels and labels also the templates', both
     distinct, sorted and comma-joined ('' without any). score is the best share
-    of a template's k-grams found, 1 for a phrase, 0 for none. spans lists
-    label, first word, end word and share of each match. A null text is empty.
+    of a template's different k-grams met, 1 for a phrase, 0 for none. spans
+    lists label, first word, end word and share of each match, in that order. A null text is empty.
     Repeated rows and null doc_ids stay apart; an empty table gives an empty
     result; other columns aren't read.
     """
     spark = df.sparkSession
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.expr(f"transform({_words(f"coalesce(`{text_col}`, '')")}, w -> xxhash64(w))").alias("h"))
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.expr(_words(f"coalesce(`{text_col}`, '')")).alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     # a zero before the k-grams meets a template row of its own, so that every document stays in the one pass
     size = F.size("h")
-    grams = docs.select("rid", "doc_id", size.cast("long").alias("n_words"), F.greatest(size - (PHRASE_GRAM - 1), F.lit(0)).alias("n_short"), F.expr(f"concat(array(0L), {_grams('h', PHRASE_GRAM)}, {_grams('h', TEMPLATE_GRAM)})").alias("g"))
-    rolling = grams.select("rid", "doc_id", "n_words", "n_short", F.posexplode("g").alias("i", "gram"))
-    held = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("exact"), F.lit(PHRASE_GRAM).alias("k"), F.lit(1).alias("grams"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("needed"), F.lit(0).cast("long").alias("bit"))
+    grams = docs.select("rid", "doc_id", "w", size.cast("long").alias("n_words"), F.greatest(size - (PHRASE_GRAM - 1), F.lit(0)).alias("n_short"), F.expr(f"concat(array(0L), {_grams('h', PHRASE_GRAM)}, {_grams('h', TEMPLATE_GRAM)})").alias("g"))
+    # outer, though g is never empty: else Spark would filter by g's size first and work out the hashes anew for each k-gram
+    rolling = grams.select("rid", "doc_id", "w", "n_words", "n_short", F.posexplode_outer("g").alias("i", "gram"))
+    nothing = {"template": F.lit(-1), "label": F.lit(""), "exact": F.lit(False), "k": F.lit(PHRASE_GRAM), "grams": F.lit(1), "at": F.lit(0), "gram": F.lit(0).cast("long"), "said": F.lit(""), "needed": F.lit(0).cast("long"), "bit": F.lit(0).cast("long")}
+    held = spark.range(1).select(*(c.alias(n) for n, c in nothing.items()))
     # broadcast: a row for each k-gram of the templates, which don't grow with the data
     hits = rolling.join(F.broadcast(template_table(spark, phrases, templates, names).unionByName(held)), "gram")
     # index in g -> word position: the short k-grams first, then the templates'
     word = F.when(F.col("template") < 0, 0).when(F.col("k") == PHRASE_GRAM, F.col("i") - 1).otherwise(F.col("i") - 1 - F.col("n_short"))
-    placed = hits.select("rid", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "needed", "bit", word.alias("word"), (word - F.col("at")).alias("diagonal")).repartition("rid")
+    found = hits.withColumn("word", word)
+    # a hash is only a hint: the words themselves must be the template's
+    met = (F.col("template") < 0) | (F.array_join(F.slice("w", F.col("word") + 1, F.col("k")), " ") == F.col("said"))
+    placed = found.where(met).select("rid", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "needed", "bit", "at", "word", (F.col("word") - F.col("at")).alias("diagonal")).repartition("rid")
     keys = ["rid", "doc_id", "n_words", "template", "label", "exact", "k", "grams", "needed"]
-    voted = placed.groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"), F.min("word").alias("first"), F.max("word").alias("last"), F.bit_or("bit").alias("met"))
-    by_template = F.struct("diagonal", "votes", "first", "last", "met")
-    listed = voted.groupBy(*keys).agg(F.sort_array(F.collect_list(by_template)).alias("d"))
-    # neighbours in order of diagonal fall into one match while the gap stays small
-    merged = F.expr(f"""aggregate(d, CAST(array() AS ARRAY<STRUCT<diagonal: INT, votes: BIGINT, first: INT, last: INT, met: BIGINT>>),
-        (acc, x) -> IF(size(acc) > 0 AND NOT exact AND x.diagonal - element_at(acc, -1).diagonal <= {NEAR},
-            array_append(slice(acc, 1, size(acc) - 1), struct(x.diagonal AS diagonal, element_at(acc, -1).votes + x.votes AS votes, least(element_at(acc, -1).first, x.first) AS first, greatest(element_at(acc, -1).last, x.last) AS last, element_at(acc, -1).met | x.met AS met)),
-            array_append(acc, x)))""")
-    stands = F.expr(f"filter(transform(m, x -> struct(label, x.first AS first, x.last + k AS end, least(1D, x.votes / grams) AS share, x.met AS met)), x -> IF(exact, x.share = 1D, x.share >= {coverage} AND x.met = needed))")
-    spans = listed.withColumn("m", merged).withColumn("s", F.when(F.col("template") >= 0, F.transform(stands, lambda x: x.dropFields("met"))))
-    per = spans.groupBy("rid", "doc_id", "n_words").agg(F.flatten(F.collect_list(F.when(F.col("exact"), F.col("s")))).alias("base"), F.flatten(F.collect_list(F.when(~F.col("exact"), F.col("s")))).alias("more"))
-    joined = lambda c: F.expr(f"array_join(array_sort(array_distinct(transform({c}, x -> x.label))), ',')")
-    starts: Column = F.expr("transform(base, x -> CAST(x.first AS BIGINT))")
-    every = "concat(base, more)"
-    return per.select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined("base").alias("base_labels"), joined(every).alias("labels"),
-        F.coalesce(F.expr(f"array_max(transform({every}, x -> x.share))"), F.lit(0.0)).alias("score"), F.expr(every).alias("spans"),
+    # a diagonal meets each position of its template once at most
+    voted = placed.groupBy(*keys, "diagonal").agg(F.collect_list("at").alias("at"), F.min("word").alias("first"), F.max("word").alias("last"), F.bit_or("bit").alias("met"))
+    # neighbours in order of diagonal fall into one match while the gap stays small; phrases aren't merged
+    order = Window.partitionBy("rid", "template").orderBy("diagonal")
+    apart = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
+    runs = voted.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy(*keys, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("positions"), F.min("first").alias("first"), F.max("last").alias("last"), F.bit_or("met").alias("met"))
+    share = F.col("positions") / F.col("grams")
+    stands = (F.col("template") >= 0) & F.when(F.col("exact"), share == 1).otherwise((share >= coverage) & (F.col("met") == F.col("needed")))
+    span = F.when(stands, F.struct("label", "first", (F.col("last") + F.col("k")).alias("end"), share.alias("share")))
+    base = F.when(stands & F.col("exact"), F.col("first").cast("long"))
+    per = merged.withColumn("span", span).withColumn("base", base).withColumn("base_label", F.when(F.col("base").isNotNull(), F.col("label"))).groupBy("rid", "doc_id", "n_words").agg(
+        F.count("base").alias("n_base"), F.min("base").alias("first_word"), F.max("base").alias("last_word"), F.collect_set("base_label").alias("base_labels"), F.collect_set("span.label").alias("labels"), F.coalesce(F.max("span.share"), F.lit(0.0)).alias("score"), F.sort_array(F.collect_list("span")).alias("spans")
     )
+    joined = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
+    return per.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score", "spans")

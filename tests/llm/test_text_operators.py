@@ -6,6 +6,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lumenrow.llm import byte_bpe, licenses, media, queries, secrets
 
@@ -179,6 +180,69 @@ def test_license_names_and_bodies(spark):
     assert {t: r["labels"] for t, r in zip(want, rows, strict=True)} == want
 
 
+def brute_spans(text):
+    """Diagonal voting in plain Python: (label, first, end, share) of every span."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})))
+    out = []
+    for kind, listed, k in (("exact", licenses.PHRASES, licenses.PHRASE_GRAM), ("template", licenses.TEMPLATES, licenses.TEMPLATE_GRAM), ("name", licenses.NAMES, licenses.NAME_GRAM)):
+        for marked, label in listed:
+            plain, needed = licenses._marked(marked, k)
+            said = plain.split()
+            grams = len(said) - k + 1
+            hits = sorted((i - j, i, j) for i in range(len(words) - k + 1) for j in range(grams) if words[i : i + k] == said[j : j + k])
+            runs = []
+            for d, i, j in hits:
+                if runs and (d == runs[-1][-1][0] or kind != "exact" and d - runs[-1][-1][0] <= licenses.NEAR):
+                    runs[-1].append((d, i, j))
+                else:
+                    runs.append([(d, i, j)])
+            for run in runs:
+                places, share = {j for _, _, j in run}, len({j for _, _, j in run}) / grams
+                if share == 1 or kind != "exact" and share >= licenses.COVERAGE and {*needed} <= places:
+                    out.append((label, min(i for _, i, _ in run), max(i for _, i, _ in run) + k, share))
+    return sorted(out)
+
+
+def test_license_spans_by_brute_force(spark, odd):
+    import random
+
+    rng = random.Random(8)
+    vocabulary = sorted({w for t, _ in licenses.TEMPLATES + licenses.NAMES for w in t.replace("{", "").replace("}", "").split()})
+    made = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(vocabulary) for _ in range(rng.randint(0, 6))]
+            chosen = rng.choice(licenses.TEMPLATES + licenses.NAMES)[0].replace("{", "").replace("}", "").split()
+            for w in chosen:  # words left out, put in, changed and repeated
+                words += rng.choices([[w], [], [w, "very"], ["some"], [w, w]], [0.9, 0.03, 0.03, 0.02, 0.02])[0]
+        made.append(rng.choice([" ", ", ", "\n"]).join(rng.choice([w, w.upper()]) for w in words))
+    made += ["wor\u212a in the public domain", "of the software " * 40, "cc by " * 30 + "cc  by-nc 4.0", "", None]
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").unionByName(odd.select((F.coalesce("doc_id", F.lit(0)) + 1000).alias("doc_id"), "text"))
+    texts_of = {}
+    for r in df.collect():
+        texts_of.setdefault(r["doc_id"], r["text"] or "")
+    met = 0
+    for r in licenses.license_scan(df).collect():
+        got, want = [(s["label"], s["first"], s["end"], s["share"]) for s in r["spans"]], brute_spans(texts_of[r["doc_id"]])
+        met += len(want)
+        assert got == want, texts_of[r["doc_id"]]
+        assert r["labels"] == ",".join(sorted({x[0] for x in want})) and r["score"] == max([x[3] for x in want], default=0)
+    assert met > 80
+
+
+def test_licenses_in_a_very_long_text(spark):
+    """A million characters of one phrase, and of a template's words, in time proportional to the text."""
+    import time
+
+    many = 125_000
+    df = spark.createDataFrame([(1, "cc by x " * many), (2, "of the software " * 62_500)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = by_id(licenses.license_scan(df))
+    assert (rows[0]["n_base"], rows[0]["first_word"], rows[0]["last_word"], rows[0]["base_labels"]) == (many, 0, 3 * many - 3, "cc-by") and len(rows[0]["spans"]) == many
+    assert rows[1]["labels"] == "" and time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_media(table, request):
     df = request.getfixturevalue(table)
