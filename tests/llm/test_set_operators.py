@@ -92,6 +92,47 @@ def test_sharding(table, request):
         assert len(sizes) == 24 and max(abs(s - mean) for s in sizes.values()) <= 2 * largest
 
 
+def test_sharding_splits_rows_that_are_alike(spark):
+    """500 rows of one document beside a thousand others: no shard is off the mean by more than its slack and a row or two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hot = docs.where("doc_id = 7").crossJoin(spark.range(500).select()).select(*docs.columns)
+    rows = sharding.kd_shards(docs.unionByName(hot)).collect()
+    sizes, slots = [0] * 24, [[] for _ in range(24)]
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean, largest = sum(sizes) / 24, max(r["size"] for r in rows)
+    assert len(rows) == 1500 and max(abs(s - mean) for s in sizes) <= largest + 5 * sharding.WHOLE_GROUP * mean
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+
+
+def test_sharding_keeps_groups_of_equal_texts(spark):
+    """Near equal shards, and no more cut groups than cuts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sharding.kd_shards(docs).collect()
+    sizes = [0] * 24
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    mean, largest = sum(sizes) / 24, max(r["size"] for r in rows)
+    assert max(abs(s - mean) for s in sizes) <= largest + 5 * sharding.WHOLE_GROUP * mean
+    # groups of equal texts, lang and source that are cut: one for each of the 23 cuts at most
+    shard = {(r["doc_id"], r["text_crc32"]): r["shard"] for r in rows}
+    groups = {}
+    for d in docs.collect():
+        text = d["text"] or ""
+        groups.setdefault((text, d["lang"], d["source"]), set()).add(shard[d["doc_id"], zlib.crc32(text.encode())])
+    assert sum(len(g) > 1 for g in groups.values()) <= 23
+
+
+def test_sharding_takes_the_widest_dimension(spark):
+    """All of one length and source: only the language can be cut, and it is."""
+    df = spark.createDataFrame([(i, f"{i:05d}", "abcdefgh"[i % 8], "s") for i in range(1600)], "doc_id long, text string, lang string, source string")
+    langs = {}
+    for r in sharding.kd_shards(df, 8).join(df.select("doc_id", "lang"), "doc_id").collect():
+        langs.setdefault(r["shard"], set()).add(r["lang"])
+    assert [len(langs[s]) for s in range(8)] == [1] * 8
+
+
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_packing(table, request):
     from tokenizers import Tokenizer
