@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lumenrow.llm import neighbours, packing, queries, sharding, simhash, toxicity, warc
 
@@ -52,10 +53,11 @@ def test_simhash(table, request):
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("pairs_up_to", [48, 0])
-def test_links_lose_nothing(spark, monkeypatch, pairs_up_to):
-    """Dense groups of values near each other; with hubs alone as well."""
+@pytest.mark.parametrize(("pairs_up_to", "held"), [(48, 65_536), (0, 65_536), (48, 2)])
+def test_links_lose_nothing(spark, monkeypatch, pairs_up_to, held):
+    """Dense groups of values near each other; with hubs alone, and with buckets that are sent on before they end, as well."""
     monkeypatch.setattr(simhash, "PAIRS_UP_TO", pairs_up_to)
+    monkeypatch.setattr(simhash, "HELD_ROWS", held)
     rng = np.random.default_rng(3)
     values = []
     for _ in range(30):
@@ -204,6 +206,26 @@ def test_warc(spark):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_with_hot_payloads(spark):
+    """A third of all pages with one payload, a third without any; page ids that aren't numbers."""
+    import zlib as z
+
+    rows = [(f"p {i:04d}/é", f"http://h/{i}", "x" * 1500 if i % 3 == 0 else None if i % 3 == 1 else f"{i} " * 400) for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in warc.archived_pages(pages).collect()}
+    assert len(got) == 900
+    for i, (page, url, html) in enumerate(rows):
+        last = i % 3 == 0 and i != 897
+        assert (got[page]["record_type"], got[page]["refers_to"], got[page]["target_uri"]) == ("revisit" if last else "response", rows[897][0] if last else None, url)
+        assert got[page]["payload_digest"] == hashlib.sha1((html or "").encode()).hexdigest()
+    # a standard reader takes the archive as one gzip file of several members
+    import gzip
+
+    blobs = [bytes(r["archive"]) for r in warc.write_archives(warc.with_originals(pages)).collect()]
+    assert sum(gzip.decompress(b).count(b"WARC/1.1\r\n") for b in blobs) == 2700 and all(len([*warc.members(b)]) % 3 == 0 for b in blobs)
+    assert z.decompressobj(31).decompress(blobs[0]).startswith(b"WARC/1.1\r\n")
+
+
 def test_toxicity(spark, docs, odd, none):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -227,6 +249,69 @@ def test_pairs_weigh_beyond_their_terms():
     assert ((z > 0) == label).mean() > 0.99
 
 
+def test_machine_scores_as_a_sum_over_pairs(spark):
+    """The forward pass in plain Python: bias, weights, and the product of factors of every pair of terms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    assert len(m.weights) > 5
+    rng = np.random.default_rng(4)
+    m.factors[:-1] = rng.normal(0, 0.4, m.factors[:-1].shape)
+    texts = [r["text"] or "" for r in docs.limit(40).collect()] + ["", "no such words", "the " * 50]
+    for text, got in zip(texts, m.score([toxicity.buckets(t) for t in texts]), strict=True):
+        rows = [int(m.place[b]) for b in toxicity.buckets(text) if m.place[b] < len(m.weights) - 1]
+        z = m.bias + sum(float(m.weights[i]) for i in rows)
+        for n, i in enumerate(rows):
+            for j in rows[n + 1 :]:
+                z += sum(float(x) * float(y) for x, y in zip(m.factors[i], m.factors[j], strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-9)
+
+
+def test_pairs_gain_on_held_out_rows(spark):
+    """Toxic where an insult meets a group's mention; both also stand alone in clean texts. Trained by train(), screen included."""
+    rng = np.random.default_rng(11)
+    filler = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    rows = []
+    for i in range(4000):
+        insult, group = rng.random(2) < 0.5
+        text = [*rng.choice(filler, 12), *(["vermin"] if insult else []), *(["villagers"] if group else [])]
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(insult and group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.where("doc_id < 2000").select("doc_id", "toxic"))
+    found, y = [toxicity.buckets(t) for _, t, _ in rows[2000:]], np.array([t for _, _, t in rows[2000:]])
+    loss = lambda p: -np.mean(y * np.log(np.clip(p, 1e-9, 1)) + (1 - y) * np.log(np.clip(1 - p, 1e-9, 1)))
+    p = m.score(found)
+    # without factors: a new bias and weights of the same buckets, fitted alone
+    place = [m.place[b][m.place[b] < len(m.weights) - 1] for b in (toxicity.buckets(t) for _, t, _ in rows[:2000])]
+    rounds = toxicity.FACTORS
+    try:
+        toxicity.FACTORS = 1
+        bias, w, _ = toxicity.fit([np.asarray(x) for x in place], np.array([t for _, _, t in rows[:2000]]), len(m.weights) - 1, seed=0)
+    finally:
+        toxicity.FACTORS = rounds
+    alone = toxicity.Machine(m.place, bias, np.append(w, 0.0), np.zeros((len(m.weights), 1)))
+    assert ((p >= 0.3) == y).mean() > 0.99 and loss(p) < 0.5 * loss(alone.score(found))
+
+
+def test_toxicity_of_odd_rows_with_a_fitted_model(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    rows = toxicity.score(odd, m).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert by[3] == by[4] and len(by[6]) == 1 and None in by
+    kept = toxicity.without_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert toxicity.without_toxic(odd.limit(0), labels).count() == 0
+    # labels of one class
+    own = odd.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    for label in (0, 1):
+        one = toxicity.toxicity(odd, own.select("doc_id", F.lit(label).alias("toxic"))).collect()
+        assert len(one) == odd.count() and {r["predicted"] for r in one} == {label}
+
+
 def brute_neighbours(rows, every, k):
     good = {}
     for i, v in rows:
