@@ -183,8 +183,9 @@ def redact(df: DataFrame, samples: DataFrame | None = None, threshold: float = T
     ``length_col``, if given, gets the new number of characters in rows that change.
     """
     ratios = train(labelled_samples(df.sparkSession) if samples is None else samples)
-    found = scan(df, ratios, threshold, text_col)
-    text = f"`{text_col}`"
+    # in a struct, so that no column's name can clash
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("lr_row"), F.col(f"`{text_col}`").alias("lr_in"))
+    found, text = scan(rows, ratios, threshold, "lr_in"), "lr_in"
     # what is kept, as (a, b): what lies before each span that begins past all earlier ones, and the rest
     before = "concat(array(0), slice(ends, 1, size(ends) - 1))"
     gaps = f"filter(zip_with({before}, lr_spans, (a, s) -> struct(a AS a, s.start AS b)), g -> g.a <= g.b)"
@@ -193,7 +194,9 @@ def redact(df: DataFrame, samples: DataFrame | None = None, threshold: float = T
     part = f"""IF(g.a div {SEGMENT} = g.b div {SEGMENT}, substr({seg("a")}, g.a % {SEGMENT} + 1, g.b - g.a),
         concat(substr({seg("a")}, g.a % {SEGMENT} + 1), array_join(slice(segs, CAST(g.a div {SEGMENT} AS INT) + 2, CAST(g.b div {SEGMENT} - g.a div {SEGMENT} AS INT) - 1), ''), substr({seg("b")}, 1, g.b % {SEGMENT})))"""
     hidden = _let("segs", f"regexp_extract_all({text}, r'(?s).{{1,{SEGMENT}}}', 0)", f"array_join(transform({kept}, g -> {part}), '{mark}')")
-    changed = found.withColumn(text_col, F.when(F.size("lr_spans") > 0, F.expr(hidden)).otherwise(F.col(text_col)))
+    changed = found.withColumn("lr_out", F.when(F.size("lr_spans") > 0, F.expr(hidden)).otherwise(F.col("lr_in")))
+    own = lambda c: F.col("lr_row").getField(c)
+    made = {text_col: F.col("lr_out")}
     if length_col is not None:
-        changed = changed.withColumn(length_col, F.when(F.size("lr_spans") > 0, F.char_length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return changed.select(*df.columns)
+        made[length_col] = F.when(F.size("lr_spans") > 0, F.char_length("lr_out").cast(df.schema[length_col].dataType)).otherwise(own(length_col))
+    return changed.select(*(made.get(c, own(c)).alias(c) for c in df.columns))

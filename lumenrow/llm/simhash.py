@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, id_and_text, stored, texts_of
+from .common import batch_of, bounded_batches, id_and_text, spread_join, stored, texts_of
 
 SEED = 42
 #: First bit and number of bits of each segment, from the lowest bit.
@@ -40,6 +40,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BUDGET = 2
 #: Up to so many exact members of a bucket are compared in pairs; larger buckets use hubs.
 PAIRS_UP_TO = 48
+#: Members of a bucket that are held, and rows of hubs and edges that are sent, at a time.
+HELD_ROWS, HUB_ROWS, SENT_ROWS = 65_536, 4096, 100_000
 _SIGN = 1 << 63
 
 
@@ -92,52 +94,65 @@ def _keys(fps: DataFrame) -> DataFrame:
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _hub_edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hub_edges(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each value with itself and its 64 neighbours one bit away, in blocks."""
     flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
-    hubs = (fps.view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
-    return np.repeat(fps, flips.size), hubs.ravel()
+    for at in range(0, fps.size, HUB_ROWS):
+        part = fps[at : at + HUB_ROWS]
+        hubs = (part.view(np.uint64)[:, None] ^ flips[None, :]).view(np.int64)
+        yield np.repeat(part, flips.size), hubs.ravel()
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from rows that are sorted by bucket, own members first."""
-
-    def edges(own: np.ndarray, probing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if own.size * (own.size + probing.size) > PAIRS_UP_TO * PAIRS_UP_TO:
-            return _hub_edges(np.concatenate([own, probing]))
-        others = np.concatenate([own, probing])
+def _bucket_edges(own: np.ndarray, probing: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    others = np.concatenate([own, probing])
+    if own.size * others.size > PAIRS_UP_TO * PAIRS_UP_TO:
+        yield from _hub_edges(others)
+    else:
         near = np.bitwise_count(own[:, None].view(np.uint64) ^ others[None, :].view(np.uint64)) <= BUDGET
         a, b = np.nonzero(near & (own[:, None] != others[None, :]))
-        return own[a], others[b]
-
-    bucket, held, flags = None, [], []
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    size = 0
-
-    def close() -> None:
-        nonlocal size
-        if len(held) > 1:
-            fps, own = np.array(held, np.int64), np.array(flags, bool)
-            if own.any():
-                a, b = edges(fps[own], fps[~own])
-                if a.size:
-                    out_a.append(a)
-                    out_b.append(b)
-                    size += a.size
+        yield own[a], others[b]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from rows that are sorted by bucket, own members first. No more than HELD_ROWS of a bucket are held: what has hubs needs no partner."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    size, bucket, crowded = 0, None, False
+    held: list[int] = []
+    flags: list[bool] = []
+
+    def closed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fps, own = np.array(held, np.int64), np.array(flags, bool)
+        if crowded:
+            yield from _hub_edges(fps)
+        elif len(held) > 1 and own.any():
+            yield from _bucket_edges(fps[own], fps[~own])
+
+    def sent(edges: Iterator[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[pa.RecordBatch]:
+        nonlocal out, size
+        for a, b in edges:
+            if a.size:
+                out.append((a, b))
+                size += a.size
+            if size > least:
+                yield batch_of(_EDGES, [np.concatenate(x) for x in zip(*out, strict=True)])
+                out, size = [], 0
 
     for batch in batches:
         for key, fp, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if key != bucket:
-                close()
-                bucket, held, flags = key, [], []
+                yield from sent(closed(), SENT_ROWS)
+                bucket, held, flags, crowded = key, [], [], False
             held.append(fp)
             flags.append(own)
-        if size > 100_000:
-            yield batch_of(_EDGES, [np.concatenate(out_a), np.concatenate(out_b)])
-            out_a, out_b, size = [], [], 0
-    close()
-    if out_a:
-        yield batch_of(_EDGES, [np.concatenate(out_a), np.concatenate(out_b)])
+            # without a member of its own first, a bucket has only probes, which don't link
+            if len(held) >= HELD_ROWS:
+                if crowded or any(flags):
+                    crowded = True
+                    yield from sent(closed(), SENT_ROWS)
+                held, flags = [], []
+    yield from sent(closed(), SENT_ROWS)
+    if out:
+        yield batch_of(_EDGES, [np.concatenate(x) for x in zip(*out, strict=True)])
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -153,19 +168,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large and small stars until nothing changes. Each round is two
     aggregations over the edges; it is written to the shared folder, so lineage
-    stays short and a lost executor costs one round. No component meets in one
-    task: stars are built by joins on the node's minimum.
+    stays short and a lost executor costs one round. Stars are built by joins on
+    the node's minimum, a great star's rows spread over several tasks.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
         # large star: every larger neighbour of a node points to the node's least neighbour
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least.select("u", "m"), "u", least.select("u", "n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours point to the least of them
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        large = stored(large, "large")
+        lows = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, lows.select("u", "m"), "u", lows.select("u", "n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         now = stored(small, "stars")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
@@ -184,10 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df are not read.
     """
     docs = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
-    reps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    reps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(links(reps))
     # a component's hubs have no document of their own
     placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(names, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(docs, classes, "fp", reps.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -164,14 +164,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     """doc_id, held_out, score and predicted (1 from TOXIC_FROM on) for every row of docs.
 
     Only labels of rows that aren't held out are learned from. A null doc_id is
-    not held out.
+    not held out. A null or empty text has the score of no term. Repeated rows
+    have equal scores and stay; labels all of one class make every score follow
+    that class; an empty table gives an empty result.
     """
     machine = train(docs, labels.where(~held_out()), sample_rows)
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs whose score is below TOXIC_FROM, with all their columns."""
+    """The rows of docs whose score is below TOXIC_FROM, with all their columns.
+
+    A null or empty text has the score of no term; repeated rows and rows with a
+    null doc_id are judged like any other. Without labels every row stays; an
+    empty table gives an empty result.
+    """
     machine = train(docs, labels.where(~held_out()), sample_rows)
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)

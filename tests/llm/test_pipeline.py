@@ -33,6 +33,22 @@ def test_odd_rows_through_near_duplicates(spark, odd):
     assert corpus_pipeline.near_duplicates(spark, odd.limit(0), SF).count() == 0
 
 
+def test_odd_rows_through_the_other_stages(spark, odd):
+    """Nulls, repeats and columns with the stages' own names; every row that isn't toxic stays, texts without secrets as they are."""
+    clash = odd.selectExpr("*", "1 AS key_id", "'x' AS key_hash", "2 AS lr_text", "3 AS salt_")
+    kept = corpus_pipeline.without_toxic(spark, clash, SF)
+    assert kept.columns == clash.columns and kept.count() == clash.count()
+    alone = corpus_pipeline.near_duplicates(spark, clash, SF)
+    assert alone.columns == clash.columns and alone.count() == 7 and {r["key_hash"] for r in alone.collect()} == {"x"}
+    clean = corpus_pipeline.without_secrets(spark, clash, SF).collect()
+    before = {(r["doc_id"], r["text"]) for r in clash.collect()}
+    assert len(clean) == clash.count() and sum("[SECRET]" in (r["text"] or "") for r in clean) == 5  # a run of one hex letter is a hex span too
+    assert all(r["lr_text"] == 2 and ((r["doc_id"], r["text"]) in before or "[SECRET]" in r["text"]) for r in clean)
+    assert {r["doc_id"] for r in corpus_pipeline.packed(spark, clash, SF).collect()} == {r["doc_id"] for r in clash.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clash.limit(0), SF).count() == 0, name
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     ids = {r["doc_id"] for r in rows}
