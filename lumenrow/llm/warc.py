@@ -31,6 +31,8 @@ from .common import bounded_batches, spread_join, stored
 LEAST_SHARED = 1000
 #: Bytes of records after which an archive is closed.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes given to the decompressor at a time.
+FED_BYTES = 4096
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID(int=0)
@@ -124,11 +126,17 @@ def write_archives(captures: DataFrame) -> DataFrame:
 
 
 def members(archive: bytes) -> Iterator[bytes]:
-    """What each gzip member of an archive holds."""
-    while archive:
-        one = zlib.decompressobj(31)
-        yield one.decompress(archive)
-        archive = one.unused_data
+    """What each gzip member of an archive holds. Bytes are fed bit by bit, as those behind a member's end come back as a copy."""
+    at = 0
+    while at < len(archive):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(archive):
+                raise ValueError("the archive ends within a member")
+            fed = archive[at : at + FED_BYTES]
+            parts.append(one.decompress(fed))
+            at += len(fed) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
