@@ -7,9 +7,4 @@ _OP8 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, coalesce(n
     SELECT page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest, CASE WHEN m IS NOT NULL AND page_id IS DISTINCT FROM m THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN page_id IS DISTINCT FROM m THEN m END AS refers_to, target_uri FROM p LEFT JOIN g ON p.b = g.b"""
 
-#: All pairs of queries and vectors: the hashed search finds the same wherever its probes reach everything, as on small tables.
-_OP10 = """WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
-
-ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8, "op10_neighbours": _OP10}
+ORACLE_SQL: dict[str, str] = {"op8_warc": _OP8}

@@ -1,7 +1,6 @@
 """Operators that look at many rows together, against brute force."""
 
 import hashlib
-import inspect
 import math
 import zlib
 
@@ -325,73 +324,114 @@ def brute_neighbours(rows, every, k):
     return out
 
 
-def test_neighbours(spark):
+def lists_of(df):
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        assert r["rank"] == len(got.setdefault(r["query_id"], [])) + 1
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+def recall_of(got, rows, every, k=20):
+    """The share of the true neighbours that were found; scores are exact, and order and ties as asked."""
+    good = {i: np.array(v, float) for i, v in rows}
+    want, hits = brute_neighbours(rows, every, k), 0
+    assert {*got} == {q for q in want if want[q]}
+    for q, found in got.items():
+        for i, score in found:
+            exact = 0.0
+            for x, y in zip(good[q].tolist(), good[i].tolist(), strict=True):
+                exact += x * y
+            assert score == exact and i != q
+        assert found == sorted(found, key=lambda f: (-f[1], f[0])) and len({i for i, _ in found}) == len(found) == len(want[q])
+        hits += len({i for i, _ in found} & {*want[q]})
+    return hits / sum(map(len, want.values()))
+
+
+def odd_vectors(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     rows = rows[:200] + [(1000 + i, rows[0][1]) for i in range(60)] + [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [None] * 64), (2020, [x * 3 for x in rows[5][1]]), (None, rows[3][1]), rows[7]]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
+    return spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
+
+
+def test_neighbours(spark):
+    """Nulls, zeros, repeats and ties: all found if all rows are asked for, and at least 0.9 by hashing."""
+    df = odd_vectors(spark)
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    got = {}
-    for r in sorted(neighbours.nearest(df, 20).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert got == brute_neighbours(rows, 20, 20)
+    got = lists_of(neighbours.nearest(df, 20, recall=None))
+    assert {q: [i for i, _ in f] for q, f in got.items()} == brute_neighbours(rows, 20, 20)
+    fine = [(i, v) for i, v in rows if i is not None and v and None not in v and not any(math.isnan(x) for x in v) and any(v)]
+    assert recall_of(lists_of(neighbours.nearest(df, 20)), fine, 20) >= 0.9
     assert neighbours.nearest(df.limit(0), 20).count() == 0
     assert neighbours.nearest(df.where("vec_id = 20"), 20).count() == 0
+    # fewer than k others: all of them
+    few = df.where("vec_id < 12 OR vec_id = 20")
+    assert recall_of(lists_of(neighbours.nearest(few, 20)), [(i, v) for i, v in rows if i is not None and (i < 12 or i == 20)][:13], 20) == 1.0
 
 
-def test_neighbours_recall_by_hashing(spark):
-    """So few probes that cells are really left out."""
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 32)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {}
-    for r in neighbours.nearest(df, 50, probe_least=0).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    scores = x[::50].astype(float) @ x.T.astype(float)
-    hits = 0
-    for k, q in enumerate(range(0, 3000, 50)):
-        scores[k, q] = -9
-        hits += len(got[q] & {*np.argsort(-scores[k])[:20].tolist()})
-    assert hits / (60 * 20) >= 0.9
+def test_neighbours_of_the_test_vectors(spark):
+    """The registered query on 2,000 vectors."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    fine = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    assert recall_of(lists_of(queries.QUERIES["op10_neighbours"](spark, "/root/testdata/sf0.1")), fine, 20) >= 0.9
 
 
-@pytest.mark.parametrize("spread", ["outlier", "lognormal", "wide"])
+@pytest.mark.parametrize("spread", ["equal", "outlier", "lognormal", "wide", "clustered"])
 def test_neighbours_of_unequal_norms(spark, spread):
-    """Few first probes; norms that one scale for all would hide in the added component."""
+    """So many vectors that cells are really left out; norms that one scale for all would hide in the added component."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if spread == "outlier":
         x[7] *= 3
-    else:
+    elif spread == "clustered":
+        x = x[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 32)) * 0.1
+    elif spread != "equal":
         x *= np.exp(rng.normal(size=(3000, 1)) * {"lognormal": 0.5, "wide": 40}[spread])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {}
-    for r in sorted(neighbours.nearest(df, 50, probe_least=0).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     scores = x[::50] @ x.T
-    for k, q in enumerate(range(0, 3000, 50)):
-        scores[k, q] = -np.inf
-        assert got[q] == np.argsort(-scores[k], kind="stable")[:20].tolist()
+    scores[np.arange(60), np.arange(0, 3000, 50)] = -np.inf
+    want = {50 * q: {*np.argsort(-scores[q], kind="stable")[:20].tolist()} for q in range(60)}
+    for recall, least in ((neighbours.RECALL, 0.9), (None, 1.0)):
+        got = lists_of(neighbours.nearest(df, 50, recall=recall))
+        assert all(len(f) == 20 for f in got.values()) and sum(len({i for i, _ in got[q]} & want[q]) for q in want) / 1200 >= least
+
 
+def test_neighbours_in_great_cells(spark, monkeypatch):
+    """Cells and queries over many blocks find what whole ones do."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = [lists_of(neighbours.nearest(df, 5, recall=r)) for r in (neighbours.RECALL, None)]
+    monkeypatch.setattr(neighbours, "BLOCK_CANDIDATES", 16)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 8)
+    assert [lists_of(neighbours.nearest(df, 5, recall=r)) for r in (neighbours.RECALL, None)] == want
 
-def test_neighbours_have_one_stopping_rule(spark):
-    """No least number of first probes makes small tables a full scan; what the bound leaves is the same for any share."""
-    assert inspect.signature(neighbours.nearest).parameters["probe_least"].default == 0
-    df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    want = sorted(neighbours.nearest(df, 20, probe_share=1.0).collect())
-    assert len(want) == 20 * df.where("vec_id % 20 = 0").count() and sorted(neighbours.nearest(df, 20, probe_share=0.001).collect()) == want
+
+def test_probes_reach_every_cell_of_their_weight():
+    """Enumeration against all cells of a band of three rotations."""
+    rng = np.random.default_rng(3)
+    along = [rng.normal(size=6) for _ in range(3)]
+    every = {(i * 6 + j) * 6 + k: along[0][i] + along[1][j] + along[2][k] for i in range(6) for j in range(6) for k in range(6)}
+    for least in (-9.0, 0.5, 2.0, 9.0):
+        assert sorted(neighbours.reaching(along, least).tolist()) == sorted(c for c, w in every.items() if w >= least)
+
+
+def test_cells_follow_from_the_bands_size():
+    for n in (1, 64, 500, 5000, 50_000, 5_000_000, 500_000_000):
+        b = neighbours.band_of(0, 64, 1.0, n)
+        cells = (2 * b.axes) ** b.hashes
+        assert n <= 64 and cells == 1 or 0.25 <= n / cells / neighbours.CELL_ROWS <= 4
 
 
 def test_neighbours_of_several_lengths(spark):
     """A stray longer vector takes no other away; each length is searched by itself."""
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([8] * 120 + [5] * 90 + [9])]
-    got = {}
-    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    want = brute_neighbours(rows[:120], 10, 20) | brute_neighbours(rows[120:210], 10, 20)
-    assert got == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q: [i for i, _ in f] for q, f in lists_of(neighbours.nearest(df, 10, recall=None)).items()}
+    assert got == brute_neighbours(rows[:120], 10, 20) | brute_neighbours(rows[120:210], 10, 20)
+    hashed = lists_of(neighbours.nearest(df, 10))
+    assert {*hashed} == {*got} and sum(len({i for i, _ in hashed[q]} & {*got[q]}) for q in got) / sum(map(len, got.values())) >= 0.9
 
 
 def test_empty_sets(none):
