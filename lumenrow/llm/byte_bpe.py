@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, texts_of
+from .common import bounded, id_and_text, texts_of
 
 #: Distinct text pieces a Python worker remembers before it starts anew.
 CACHE_PIECES = 500_000
@@ -261,14 +261,13 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     empty result; other columns of df aren't read. The vocabulary's path must
     be readable on every worker.
     """
-    bounded_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         table = [enc.bpe.tokens.get(i, b"") for i in range(max(enc.bpe.tokens, default=0) + 1)]
-        for batch in batches:
+        for batch in bounded(batches):
             n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in texts_of(batch):
                 ids = enc.encode(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +69,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame,
     return salted.join(repeated, [key, "salt_"], how).drop("salt_")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; rows of many megabytes are cut by bytes as well."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows at a time, cut in the worker, so that no setting of the session is touched. Spark bounds their bytes by itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXT_ROWS_PER_BATCH):
+            yield batch.slice(at, TEXT_ROWS_PER_BATCH)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, id_and_text, texts_of
+from .common import bounded, id_and_text, texts_of
 
 #: Payloads are filled up with bytes 255 to a positive multiple of this.
 UNIT = 576
@@ -106,13 +106,12 @@ def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     empty feature. Equal texts have equal values; repeated rows and null doc_ids
     stay; an empty table gives an empty result; other columns aren't read.
     """
-    bounded_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pair_times", "pair_hashes"] + ["media"] * keep_media
-        for batch in batches:
+        for batch in bounded(batches):
             own, size, sha, tail, stored_size, stored_sha, feature, at, h, kept = ([] for _ in range(10))
             for text in texts_of(batch):
                 payload, n = payload_of(text)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, id_and_text, stored, texts_of
+from .common import bounded, id_and_text, stored, texts_of
 
 WINDOW = 4096
 END_ID = 2
@@ -133,13 +133,12 @@ def pieces(df: DataFrame, tokenizer_path: str, window: int = WINDOW, cut: int =
     doc_id, start, length, ids_crc32 (of the piece's ids as little-endian
     unsigned 32-bit integers), doc_tokens and, if ``keep_ids``, ids.
     """
-    bounded_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             at, start, length, crc, total, kept = [], [], [], [], [], []
             for i, body in enumerate(token_bytes(texts_of(batch), tokenizer_path)):
                 body += end

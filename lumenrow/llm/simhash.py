@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, bounded_batches, id_and_text, spread_join, stored, texts_of
+from .common import batch_of, bounded, id_and_text, spread_join, stored, texts_of
 
 SEED = 42
 #: First bit and number of bits of each segment, from the lowest bit.
@@ -65,12 +65,11 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed long, for every row. Null texts are empty: fingerprint zero."""
-    bounded_batches(df.sparkSession)
     rows = id_and_text(df, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             fps = np.array([fingerprint(t, width) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

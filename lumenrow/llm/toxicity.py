@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_and_text, stored, texts_of
+from .common import bounded, id_and_text, stored, texts_of
 
 BUCKETS = 1 << 18
 #: Letters of a word's beginning that are a term too.
@@ -113,14 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     ``sample_rows`` texts, which of them they have.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # broadcast: sample_rows pairs of numbers at most
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_pydict({"label": batch.column(batch.schema.get_field_index("label")), "buckets": pa.array([buckets(t) for t in texts_of(batch)], pa.list_(pa.int32()))})
 
     found = stored(rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(terms, "label int, buckets array<int>").dropDuplicates(), "terms")
@@ -142,14 +141,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score for every row. A null or empty text has the score of no term; repeated rows and null doc_ids stay."""
-    bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     # a few hundred thousand numbers, whatever the data's size
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score([buckets(t) for t in texts_of(batch)]), pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {id_type}, score double")
@@ -180,11 +178,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     empty table gives an empty result.
     """
     machine = train(docs, labels.where(~held_out()), sample_rows)
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield batch.filter(pa.array(shared.value.score([buckets(t) for t in texts_of(batch)]) < TOXIC_FROM))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, spread_join, stored
+from .common import bounded, spread_join, stored
 
 #: Payloads of fewer bytes are always stored whole.
 LEAST_SHARED = 1000
@@ -103,12 +103,11 @@ def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
 
 def write_archives(captures: DataFrame) -> DataFrame:
     """A stored table of archives from page_id, url, payload, revisit and original."""
-    bounded_batches(captures.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         run_key = 0
-        for batch in batches:
+        for batch in bounded(batches):
             for row in batch.to_pylist():
                 # repeated rows are numbered apart; archives of other tasks differ in the seed
                 run_key += 1
@@ -144,7 +143,7 @@ def read_records(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.string()) for n in ("warc_type", "record_id", "concurrent_to", "refers_to_uri", "target_uri", "payload_digest")] + [("payload", pa.binary())])
-        for batch in batches:
+        for batch in bounded(batches):
             for blob in batch.column(0):
                 rows = []
                 for h, block in (r for m in members(blob.as_py()) for r in parse(m)):
