@@ -50,21 +50,35 @@ BLOCK_CANDIDATES, BLOCK_QUERIES, TILE = 32_768, 65_536, 1024
 #: Norms that differ by less than a factor of 2 ** (1 / BANDS) are one band.
 BANDS = 4
 #: Rows of an Arrow batch that are coded at a time, and pairs that are scored at a time.
-CODED_ROWS, SCORED_PAIRS = 256, 20_000
+CODED_ROWS, SCORED_PAIRS = 1024, 20_000
+#: Pairs that a task holds of the best it has found so far, before it sends them on.
+HELD_PAIRS = 1_000_000
 #: Great cells up to this number are broadcast.
 BROADCAST_CELLS = 100_000
 #: Bits of a cell's number below its band's and table's.
 CODE_BITS = 40
 
 
+def _signs_of(n: int) -> np.ndarray:
+    """The Walsh-Hadamard matrix of order n."""
+    out = np.ones((1, 1))
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The normalised Walsh-Hadamard transform of each row; the row length is a power of two."""
-    n, out, h = x.shape[1], x.copy(), 1
-    while h < n:
-        pairs = out.reshape(len(out), n // (2 * h), 2, h)
-        out = np.concatenate([pairs[:, :, :1] + pairs[:, :, 1:], pairs[:, :, :1] - pairs[:, :, 1:]], axis=2).reshape(len(out), n)
-        h *= 2
-    return out / np.sqrt(n)
+    """The normalised Walsh-Hadamard transform of each row; the row length is a power of two.
+
+    A transform of a * b is one of b in each row of an a x b matrix and one of a
+    in each column, so n * (a + b) steps do for n * n.
+    """
+    n = x.shape[1]
+    a = 1 << (n.bit_length() - 1) // 2
+    b = n // a
+    rows = (x.reshape(-1, b) @ _signs_of(b)).reshape(-1, a, b)
+    columns = np.ascontiguousarray(rows.swapaxes(1, 2)).reshape(-1, a) @ _signs_of(a)
+    return columns.reshape(-1, b, a).swapaxes(1, 2).reshape(-1, n) / np.sqrt(n)
 
 
 @lru_cache(maxsize=256)
@@ -261,20 +275,50 @@ def _scored(entries: DataFrame, dtype: str, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, known = None, [], None
         found: list[tuple[np.ndarray, ...]] = []
-        pairs = 0
+        scored: list[list[np.ndarray]] = []
+        pairs = waiting = 0
+        best, floor_ids, floor_at = [np.zeros(0, f.type.to_pandas_dtype()) for f in out], np.zeros(0, np.int64), np.zeros(0)
 
-        def flush() -> pa.RecordBatch:
-            nonlocal found, pairs
-            made = {}
+        def score() -> None:
+            """Scores the pairs found, whose vectors needn't be held any longer."""
+            nonlocal found, pairs, waiting
             for dim in {f[3].shape[1] for f in found}:
                 qid, cid, lid, q, c = (np.concatenate(x) for x in zip(*(f for f in found if f[3].shape[1] == dim), strict=True))
-                score = np.zeros(len(qid))
+                value = np.zeros(len(qid))
                 for d in range(dim):  # in order of components, so that the sum doesn't hang on the block
-                    score += q[:, d] * c[:, d]
-                for name, x in zip(out.names, (qid, cid, lid, score), strict=True):
-                    made.setdefault(name, []).append(x)
+                    value += q[:, d] * c[:, d]
+                scored.append([qid, cid, lid, value])
+                waiting += len(qid)
             found, pairs = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made[n])) for n in out.names], schema=out)
+
+        def combine() -> None:
+            """Keeps each query's k + 1 best different classes and raises its floor to the last of them."""
+            nonlocal best, floor_ids, floor_at, scored, waiting
+            qid, cid, lid, value = (np.concatenate(x) for x in zip(best, *scored, strict=True))
+            order = np.lexsort((cid, lid, -value, qid))
+            qid, cid, lid, value = (x[order] for x in (qid, cid, lid, value))
+            fresh = np.ones(len(qid), bool)
+            fresh[1:] = (qid[1:] != qid[:-1]) | (cid[1:] != cid[:-1])
+            qid, cid, lid, value = (x[fresh] for x in (qid, cid, lid, value))
+            starts = np.flatnonzero(np.concatenate(([True], qid[1:] != qid[:-1]))) if len(qid) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(qid)))
+            rank = np.arange(len(qid)) - np.repeat(starts, sizes)
+            full = sizes > k
+            floor_ids, floor_at = qid[starts[full]], value[starts[full] + k]
+            best = [x[rank <= k] for x in (qid, cid, lid, value)]
+            scored, waiting = [], 0
+
+        def sent() -> pa.RecordBatch:
+            nonlocal best
+            batch, best = pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=out), [x[:0] for x in best]
+            return batch
+
+        def raised(ids: np.ndarray, floors: np.ndarray) -> np.ndarray:
+            """The floors of queries, or what this task knows to be better."""
+            if not len(floor_ids):
+                return floors
+            at = np.minimum(np.searchsorted(floor_ids, ids), len(floor_ids) - 1)
+            return np.where(floor_ids[at] == ids, np.maximum(floors, floor_at[at]), floors)
 
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "c", "q", "asks")]
@@ -295,15 +339,22 @@ def _scored(entries: DataFrame, dtype: str, k: int) -> DataFrame:
                         q = rows_of(batch, at, min(at + TILE, last))
                         near = q @ c.T
                         worst = np.partition(near, len(c) - n, axis=1)[:, len(c) - n]
-                        qi, ci = np.nonzero(near >= (np.maximum(worst, floors[at : at + len(q)]) - _rounding(q, c))[:, None])
+                        floor = raised(cids[at : at + len(q)], floors[at : at + len(q)])
+                        qi, ci = np.nonzero(near >= (np.maximum(worst, floor) - _rounding(q, c))[:, None])
                         for i in range(0, len(qi), SCORED_PAIRS):
-                            a, b = qi[i : i + SCORED_PAIRS], ci[i : i + SCORED_PAIRS]
-                            found.append((cids[at + a], ids[b], least[b], q[a], c[b]))
-                            pairs += len(a)
+                            x, y = qi[i : i + SCORED_PAIRS], ci[i : i + SCORED_PAIRS]
+                            found.append((cids[at + x], ids[y], least[y], q[x], c[y]))
+                            pairs += len(x)
                             if pairs >= SCORED_PAIRS:
-                                yield flush()
-        if found:
-            yield flush()
+                                score()
+                                # as much again as is held, so that sorting stays in proportion to the pairs
+                                if waiting >= max(2 * SCORED_PAIRS, len(best[0])):
+                                    combine()
+                                    if len(best[0]) > HELD_PAIRS:
+                                        yield sent()
+        score()
+        combine()
+        yield sent()
 
     tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(tasks, "cell", "c", "q").sortWithinPartitions("cell", "c", "q", "asks")
@@ -317,19 +368,17 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(entries: DataFrame, cells: DataFrame) -> DataFrame:
-    """Entries with their blocks c and q of cells that are too great for one task; ``cells`` has cell and asks of each entry."""
-    count = lambda asks: F.count(F.when(F.col("asks") == asks, 1))
-    per = cells.groupBy("cell").agg(count(False).alias("nc"), count(True).alias("nq"))
-    parts = per.select("cell", F.ceil(F.col("nc") / BLOCK_CANDIDATES).cast("int").alias("cs"), F.ceil(F.col("nq") / BLOCK_QUERIES).cast("int").alias("qs")).where("cs > 0 AND qs > 0 AND (cs > 1 OR qs > 1)")
-    great = stored(parts, "great_cells")
+    """Entries with their blocks c and q of cells that are too great for one task; ``cells`` has the cell of each entry that doesn't ask."""
+    parts = cells.groupBy("cell").count().where(F.col("count") > BLOCK_CANDIDATES)
+    great = stored(parts.select("cell", F.ceil(F.col("count") / BLOCK_CANDIDATES).cast("int").alias("parts")), "great_cells")
     number = great.count()
     if not number:
         return entries.withColumns({"c": F.lit(0), "q": F.lit(0)})
-    joined = entries.join(F.broadcast(great) if number <= BROADCAST_CELLS else great, "cell", "left")
-    own = lambda n: F.pmod(F.xxhash64("cid"), F.coalesce(n, F.lit(1))).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)
+    joined = entries.join(F.broadcast(great) if number <= BROADCAST_CELLS else great, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # as many blocks of queries as of vectors: every block of the one meets every block of the other
+    own, every = F.array(F.pmod(F.xxhash64("cid"), "parts").cast("int")), F.sequence(F.lit(0), F.col("parts") - 1)
     asks = F.col("asks")
-    return joined.select("*", F.explode(F.when(asks, every(F.col("cs"))).otherwise(F.array(own(F.col("cs"))))).alias("c")).select("*", F.explode(F.when(asks, F.array(own(F.col("qs")))).otherwise(every(F.col("qs")))).alias("q")).drop("cs", "qs")
+    return joined.select("*", F.explode(F.when(asks, every).otherwise(own)).alias("c")).select("*", F.explode(F.when(asks, own).otherwise(every)).alias("q")).drop("parts")
 
 
 def _sampled(classes: DataFrame, where: Column, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -417,27 +466,25 @@ def nearest(df: DataFrame, every: int, k: int = K, id_col: str = "vec_id", vecto
             x = _matrix(part.column("v"), band.dim)
             return [*np.stack([coded(digits(x, band, t), band, t) for t in range(tables if band.hashes else 1)], axis=1)]
 
-        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray], bool, np.ndarray | None]]:
+        def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, CODED_ROWS):
                     batch = whole.slice(at, CODED_ROWS)
                     for key, part in _by(batch, "dim", "band"):
-                        yield part, key[0], placing(part, bands[key]), False, None
+                        yield from _entries(part, key[0], dtype, placing(part, bands[key]), False)
                     asking = batch.filter(batch.column("asked"))
                     for (dim,), part in _by(asking, "dim") if asking.num_rows else ():
-                        yield part, dim, *(lambda f: (f[0], True, f[1]))(probing(part, dim))
-
-        def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, dim, cells, asks, floors in parted(batches):
-                yield from _entries(part, dim, dtype, cells, asks, floors)
+                        probes, floors = probing(part, dim)
+                        yield from _entries(part, dim, dtype, probes, True, floors)
 
         def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, _, cells, asks, _ in parted(batches):
-                flat = np.concatenate(cells)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.full(len(flat), asks))], names=["cell", "asks"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, CODED_ROWS):
+                    for key, part in _by(whole.slice(at, CODED_ROWS), "dim", "band"):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(placing(part, bands[key])))], names=["cell"])
 
         coming = classes.select(*columns)
-        dealt = _dealt(coming.mapInArrow(entries_of, _ENTRY), coming.mapInArrow(cells_of, "cell long, asks boolean"))
+        dealt = _dealt(coming.mapInArrow(entries_of, _ENTRY), coming.mapInArrow(cells_of, "cell long"))
         answers = stored(_best(_scored(dealt, dtype, k), k), "answers")
         # fewer than there could be: those queries go on through all rows
         wanted = F.create_map(*(x for d, n in held.items() for x in (F.lit(d), F.lit(min(n, k + 1)))))
