@@ -173,8 +173,18 @@ def adler32(data: bytes) -> int:
     return zlib.adler32(data)
 
 
-def inflate_zlib(data: bytes, start: int = 0, limit: int = DEFAULT_LIMIT, format: str = "zlib") -> Inflated:
-    """A zlib stream: header, deflate stream and checksum."""
+def _uncounted(data: bytes, start: int, limit: int) -> Inflated | None:
+    """A sound zlib stream's data by the standard library; None where something is wrong with it, which the walk below can name."""
+    run = zlib.decompressobj()
+    try:
+        out = run.decompress(memoryview(data)[start:], limit + 1)
+    except zlib.error:
+        return None
+    return Inflated(out, consumed=len(data) - start - len(run.unused_data)) if run.eof and len(out) <= limit else None
+
+
+def inflate_zlib(data: bytes, start: int = 0, limit: int = DEFAULT_LIMIT, format: str = "zlib", counted: bool = True) -> Inflated:
+    """A zlib stream: header, deflate stream and checksum. Blocks and symbols are only counted where ``counted`` asks for it, which takes a walk over all of them."""
     if len(data) - start < 6:
         raise DecodeError("a zlib stream of fewer than 6 bytes", format, start)
     method, flags = data[start], data[start + 1]
@@ -184,6 +194,8 @@ def inflate_zlib(data: bytes, start: int = 0, limit: int = DEFAULT_LIMIT, format
         raise DecodeError("the zlib header's check fails", format, start)
     if flags & 32:
         raise unsupported("zlib stream with a preset dictionary", format, start)
+    if not counted and (quick := _uncounted(data, start, limit)) is not None:
+        return quick
     found = inflate(data, start + 2, limit, format)
     at = start + 2 + found.consumed
     if at + 4 > len(data):

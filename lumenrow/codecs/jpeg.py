@@ -229,6 +229,13 @@ def parse_dht(body: bytes, at: int) -> dict[tuple[int, int], Code]:
     return out
 
 
+def marker_name(marker: int) -> str:
+    """A marker's name: those of a family carry their number."""
+    single = {0xC4: "DHT", 0xC8: "JPG", 0xCC: "DAC", 0xD8: "SOI", 0xD9: "EOI", 0xDA: "SOS", 0xDB: "DQT", 0xDC: "DNL", 0xDD: "DRI", 0xFE: "COM", 0x01: "TEM"}
+    families = ((0xC0, 0xCF, "SOF"), (0xD0, 0xD7, "RST"), (0xE0, 0xEF, "APP"))
+    return single.get(marker) or next((f"{name}{marker - low}" for low, high, name in families if low <= marker <= high), f"0xFF{marker:02X}")
+
+
 def parse_sof(marker: int, body: bytes, at: int) -> Frame:
     if marker not in (0xC0, 0xC1, 0xC2):
         raise unsupported(f"frame type {marker:#04x}", NAME, at)
@@ -432,9 +439,16 @@ class ScanReader:
             for i, b in blocks:
                 block(i, scan.parts[i][0].coefs[b])
 
+    def difference(self, i: int) -> int:
+        """A DC value's difference to the one before; its size has 15 bits at most."""
+        size = self.code(0, self.scan.parts[i][1]).read(self.bits)
+        if size > 15:
+            raise DecodeError(f"DC size {size}", NAME)
+        return self.bits.extended(size)
+
     def sequential(self, i: int, out: np.ndarray) -> None:
-        bits, (_, dc, ac) = self.bits, self.scan.parts[i]
-        self.predicted[i] += bits.extended(self.code(0, dc).read(bits))
+        bits, (_, _, ac) = self.bits, self.scan.parts[i]
+        self.predicted[i] += self.difference(i)
         out[0] = _short(self.predicted[i])
         k, read = 1, self.code(1, ac).read
         while k < 64:
@@ -452,7 +466,7 @@ class ScanReader:
             k += 1
 
     def dc_first(self, i: int, out: np.ndarray) -> None:
-        self.predicted[i] += self.bits.extended(self.code(0, self.scan.parts[i][1]).read(self.bits))
+        self.predicted[i] += self.difference(i)
         out[0] = _short(self.predicted[i] << self.scan.low)
 
     def dc_refine(self, i: int, out: np.ndarray) -> None:
@@ -507,7 +521,7 @@ class ScanReader:
                     else:
                         break
                     k += 1
-                if value and k <= 63:
+                if value and k <= scan.end:  # a run over the band's end has nothing to set
                     out[k] = value
                 k += 1
         if self.run:
@@ -597,5 +611,6 @@ def decode(data: bytes) -> Image:
         pixels = oriented(pixels, s.orientation)
     mw, mh = f.mcus
     extra = {"sampling": f.sampling, "MCUs": f"{mw} x {mh}", "scans": str(s.scans), "restart interval": str(s.interval), "JFIF": str(s.jfif).lower()}
+    extra["quantisation"] = "; ".join(f"{t}: DC {int(s.tables[t][0])}, mean {float(np.mean(s.tables[t])):.2f}" for t in sorted({c.table for c in f.components}))
     extra |= {k: str(v) for k, v in (("orientation", s.orientation), ("Adobe transform", s.adobe), ("comment", s.comment)) if v is not None}
     return Image(pixels, NAME, {0xC0: "baseline", 0xC1: "extended", 0xC2: "progressive"}[f.marker], 8, len(f.components), space, "DCT", False, extra)

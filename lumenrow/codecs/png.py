@@ -247,10 +247,11 @@ def expand(v: np.ndarray, f: File) -> np.ndarray:
     return rgba(s[:, :, 0], s[:, :, 0 if h.color == 0 else 1], s[:, :, -1], alpha)
 
 
-def decode(data: bytes) -> Image:
+def decode(data: bytes, counted: bool = False) -> Image:
+    """``counted`` adds what blocks the data's stream was made of."""
     f = read(data)
     h, size = f.header, f.header.raw_size()
-    inflated = inflate_zlib(f.idat, limit=size, format=NAME)
+    inflated = inflate_zlib(f.idat, limit=size, format=NAME, counted=counted)
     if len(inflated.data) != size:
         raise DecodeError(f"{size} bytes of rows wanted, {len(inflated.data)} there", NAME)
     raw, at = np.frombuffer(inflated.data, np.uint8), 0
@@ -263,7 +264,7 @@ def decode(data: bytes) -> Image:
         counts += np.bincount(rows[:, 0], minlength=5)[:5]
         out[y0::dy, x0::dx] = expand(samples(plain, w, h.channels, h.depth), f)
     extra = {
-        "interlace": "Adam7" if h.interlaced else "none", "filters": " ".join(f"{k} x {n}" for k, n in zip(FILTERS, counts.tolist(), strict=True) if n), "deflate blocks": inflated.blocks,
+        "interlace": "Adam7" if h.interlaced else "none", "filters": " ".join(f"{k} x {n}" for k, n in zip(FILTERS, counts.tolist(), strict=True) if n), **({"deflate blocks": inflated.blocks} if counted else {}),
         "IDAT": f"{f.n_idat} of {len(f.idat)} bytes", "ratio": f"{size / len(f.idat):.2f}:1" if f.idat else "—", "chunks": str(f.n_chunks), **({"palette": str(len(f.palette))} if f.palette is not None else {}), **f.extra,
     }
     return Image(out, NAME, COLOR_TYPES[h.color][0], h.depth, h.channels, COLOR_TYPES[h.color][0], "Deflate", extra=extra)

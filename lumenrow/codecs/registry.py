@@ -29,7 +29,7 @@ DECODERS = (
     Decoder(png.NAME, ("png", "apng"), png.matches, png.decode),
     Decoder(jpeg.NAME, ("jpg", "jpeg", "jpe", "jfif"), jpeg.matches, jpeg.decode),
     Decoder(webp.NAME, ("webp",), webp.matches, webp.decode),
-    Decoder(pnm.NAME, ("pbm", "pgm", "ppm", "pnm"), pnm.matches, pnm.decode),
+    Decoder(pnm.NAME, ("pbm", "pgm", "ppm", "pnm", "pam"), pnm.matches, pnm.decode),
     Decoder(yuv.NAME, ("yuv", "i420", "nv12", "nv21", "yv12", "yuy2", "uyvy", "yvyu"), lambda data: False, _no_header),
 )
 
@@ -43,13 +43,14 @@ def hex_preview(data: bytes, n: int = 16) -> str:
     return head.hex(" ").upper() + "  |" + "".join(chr(b) if 32 <= b < 127 else "." for b in head) + "|"
 
 
-def decode(data: bytes) -> Image:
+def decode(data: bytes, counted: bool = False) -> Image:
+    """``counted`` asks for statistics that take a walk of their own (PNG's deflate blocks)."""
     if not data:
         raise DecodeError("the file is empty", kind="unknown")
     found = sniff(data)
     if found is None:
         raise DecodeError(f"no decoder of {', '.join(d.name for d in DECODERS)} knows {hex_preview(data)}", kind="unknown")
     try:
-        return found.decode(data)
+        return png.decode(data, counted) if found.name == png.NAME else found.decode(data)
     except (IndexError, ValueError, OverflowError) as broken:  # a malformed file never ends the task
         raise DecodeError(f"malformed data: {broken}", found.name) from broken

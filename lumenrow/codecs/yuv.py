@@ -23,6 +23,7 @@ FORMATS = {
     "UYVY": ("packed", 2, 1, (1, 0, 3, 2)),
 }
 # The weights of red and blue in luma.
+RANGES = ("limited", "full")
 MATRICES = {"BT.601": (0.299, 0.114), "BT.709": (0.2126, 0.0722), "BT.2020": (0.2627, 0.0593)}
 
 
@@ -70,8 +71,9 @@ def to_rgb(y, u, v, matrix: str, range: str) -> np.ndarray:
 
 
 def exact_height(width: int, format: str, length: int) -> int:
-    """The height of which one frame has just this length, or 0."""
-    return next((h for h in range(1, 65536) if Options(width, h, format).frame_size == length), 0)
+    """The least height of which one frame has just this length, or 0. A frame grows with its height, so it lies near the greatest that fits."""
+    high = largest_height(width, format, length)
+    return next((h for h in range(max(1, high - 2), high + 1) if Options(width, h, format).frame_size == length), 0)
 
 
 def largest_height(width: int, format: str, length: int) -> int:

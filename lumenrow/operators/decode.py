@@ -14,8 +14,8 @@ from ..codecs.model import DecodeError, Image
 from ..functions import bytesx
 
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
-#: Files of one Arrow batch; a batch is cut by bytes as well.
-FILES_PER_BATCH = 64
+#: Rows of parts that are sent at a time.
+PART_ROWS = 4096
 ERROR = pa.struct([("kind", pa.string()), ("format", pa.string()), ("message", pa.string()), ("offset", pa.int64())])
 _FIELDS = [
     ("format", pa.string()), ("variant", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("channels", pa.int32()), ("color_space", pa.string()), ("compression", pa.string()),
@@ -37,44 +37,53 @@ def _row(run: Callable[[], Image], mode: str, pixels: bool) -> dict:
     return made | {"decode_micros": micros, "extra": [{"key": k, "value": str(v)} for k, v in image.extra.items()], "pixels": image.pixels.tobytes() if pixels else None}
 
 
-def _mapped(files: DataFrame, columns: list[str], run: Callable[..., Image], mode: str, pixels: bool) -> DataFrame:
+def _mapped(files: DataFrame, columns: list[str], run: Callable[..., Image], mode: str, pixels: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"mode {mode}: one of {', '.join(MODES)}")
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    id_type = files.schema["image_id"].dataType.simpleString()
+    kept = ["image_id", *keep]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("image_id"))
+            carried = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
             # one file at a time, so that only its pixels are in memory twice
             for i, args in enumerate(zip(*values, strict=True)):
                 row = _row(lambda: run(*args), mode, pixels)  # noqa: B023
                 if mode == "DROPMALFORMED" and row.get("error"):
                     continue
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 1), *(pa.array([row.get(k)], t) for k, t in _FIELDS)], names=["image_id", *(k for k, _ in _FIELDS)])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in carried), *(pa.array([row.get(k)], t) for k, t in _FIELDS)], names=[*kept, *(k for k, _ in _FIELDS)])
 
-    return files.select("image_id", *columns).mapInArrow(decoded, f"image_id {id_type}, {_DDL}")
+    ddl = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+    return files.select(*kept, *(c for c in columns if c not in kept)).mapInArrow(decoded, f"{ddl}, {_DDL}")
 
 
-def decode_images(files: DataFrame, mode: str = "PERMISSIVE", pixels: bool = True) -> DataFrame:
+def decode_images(files: DataFrame, mode: str = "PERMISSIVE", pixels: bool = True, counted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per file (image_id, content): metadata, pixels (RGBA, row by row) or a classified error.
 
     PERMISSIVE keeps failed files with their error, DROPMALFORMED leaves them
     out, FAILFAST ends the job. A null content counts as empty and is unknown.
+    ``counted`` adds statistics of PNG's deflate blocks, for a walk over all of
+    them. Columns named in ``keep`` are carried along, so that no join brings
+    them back. Repeated ids and null ids stay, each file a row of its own; an
+    empty table gives an empty result.
     """
-    return _mapped(files, ["content"], lambda content: registry.decode(content or b""), mode, pixels)
+    return _mapped(files, ["content"], lambda content: registry.decode(content or b"", counted), mode, pixels, keep)
 
 
 def decode_frames(files: DataFrame, mode: str = "PERMISSIVE", pixels: bool = True) -> DataFrame:
-    """Raw YUV: one row per file (image_id, content, options), options being width, height, format, matrix, range and frame_index."""
+    """Raw YUV: one row per file (image_id, content, options), options being width, height, format, matrix, range and frame_index.
+
+    Options that are missing or unknown are an error of the file, as a frame
+    beyond its end is. Repeated ids and null ids stay; an empty table gives an
+    empty result.
+    """
 
     def run(content: bytes, options: dict) -> Image:
         known = {k if k != "frame_index" else "frame": v for k, v in (options or {}).items() if v is not None}
         if known.get("format", "I420") not in yuv.FORMATS or not known.get("width") or not known.get("height"):
             raise DecodeError("options need width, height and a known format", yuv.NAME)
+        if known.get("matrix", "BT.601") not in yuv.MATRICES or known.get("range", "limited") not in yuv.RANGES:
+            raise DecodeError("options need a known matrix and range", yuv.NAME)
         return yuv.decode(content or b"", yuv.Options(**known))
 
     return _mapped(files, ["content", "options"], run, mode, pixels)
@@ -95,24 +104,33 @@ def formats(files: DataFrame) -> DataFrame:
     return files.select("image_id", F.octet_length(c).alias("length"), bytesx.sniff(c).alias("format"), bytesx.hex_preview(c).alias("preview")).withColumn("error_class", bytesx.error_class(F.col("format"), F.col("length")))
 
 
-def _parts(files: DataFrame, walk: Callable[[bytes], Iterator[tuple]], columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """A row per part that ``walk`` finds; a malformed file yields its parts up to the fault."""
-    id_type = files.schema["image_id"].dataType.simpleString()
+def _parts(files: DataFrame, walk: Callable[[bytes], Iterator[tuple]], columns: list[tuple[str, pa.DataType, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per part that ``walk`` finds, with the columns of ``keep``; a malformed file yields its parts up to the fault."""
+    kept = ["image_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, contents = (batch.column(batch.schema.get_field_index(c)) for c in ("image_id", "content"))
+            carried = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             at, rows = [], []
-            for i, content in enumerate(contents.to_pylist()):
+
+            def sent() -> pa.RecordBatch:
+                where = pa.array(at, pa.int64())  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(c.take(where) for c in carried), *(pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(columns))], names=[*kept, *(n for n, _, _ in columns)])  # noqa: B023
+
+            for i, content in enumerate(batch.column(batch.schema.get_field_index("content"))):
                 try:
-                    for row in walk(content or b""):
+                    for row in walk(content.as_py() or b""):
                         at.append(i)
                         rows.append(row)
                 except DecodeError:
                     pass
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, (_, t, _) in enumerate(columns))], names=["image_id", *(n for n, _, _ in columns)])
+                if len(rows) >= PART_ROWS:
+                    yield sent()
+                    at, rows = [], []
+            yield sent()
 
-    return files.select("image_id", "content").mapInArrow(run, f"image_id {id_type}, " + ", ".join(f"{n} {ddl}" for n, _, ddl in columns))
+    ddl = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+    return files.select(*kept, "content").mapInArrow(run, f"{ddl}, " + ", ".join(f"{n} {t}" for n, _, t in columns))
 
 
 _SEQ, _OFFSET, _LENGTH = ("seq", pa.int32(), "int"), ("offset", pa.int64(), "long"), ("length", pa.int64(), "long")
@@ -126,9 +144,9 @@ def png_chunks(files: DataFrame) -> DataFrame:
 
 
 def jpeg_segments(files: DataFrame) -> DataFrame:
-    """image_id, seq, marker, offset and length of each JPEG segment."""
-    walk = lambda data: ((s.seq, s.marker, s.offset, s.length) for s in jpeg.segments(data)) if jpeg.matches(data) else iter(())
-    return _parts(files, walk, [_SEQ, ("marker", pa.int32(), "int"), _OFFSET, _LENGTH])
+    """image_id, seq, marker, name, offset and length of each JPEG segment."""
+    walk = lambda data: ((s.seq, s.marker, jpeg.marker_name(s.marker), s.offset, s.length) for s in jpeg.segments(data)) if jpeg.matches(data) else iter(())
+    return _parts(files, walk, [_SEQ, ("marker", pa.int32(), "int"), ("name", pa.string(), "string"), _OFFSET, _LENGTH])
 
 
 def webp_chunks(files: DataFrame) -> DataFrame:
@@ -150,7 +168,7 @@ def jpeg_quant(files: DataFrame) -> DataFrame:
     return _parts(files, walk, [("table_id", pa.int32(), "int"), ("k", pa.int32(), "int"), ("q", pa.int32(), "int")])
 
 
-def jpeg_coefficients(files: DataFrame) -> DataFrame:
+def jpeg_coefficients(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """image_id, component, block and coef (64, stored order) of each block on the padded grid."""
 
     def walk(data: bytes) -> Iterator[tuple]:
@@ -159,10 +177,10 @@ def jpeg_coefficients(files: DataFrame) -> DataFrame:
                 for b, coefs in enumerate(c.coefs.tolist()):
                     yield c.id, b, coefs
 
-    return _parts(files, walk, [("component", pa.int32(), "int"), ("block", pa.int32(), "int"), ("coef", pa.list_(pa.int32()), "array<int>")])
+    return _parts(files, walk, [("component", pa.int32(), "int"), ("block", pa.int32(), "int"), ("coef", pa.list_(pa.int32()), "array<int>")], keep)
 
 
-def inflated(files: DataFrame, wrapped: bool = True, limit: int = inflate.DEFAULT_LIMIT) -> DataFrame:
+def inflated(files: DataFrame, wrapped: bool = True, limit: int = inflate.DEFAULT_LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """image_id, data and what each zlib (or raw deflate) stream was made of; streams that can't be read are left out."""
     run = inflate.inflate_zlib if wrapped else inflate.inflate
 
@@ -170,7 +188,7 @@ def inflated(files: DataFrame, wrapped: bool = True, limit: int = inflate.DEFAUL
         f = run(data, limit=limit)
         yield f.data, f.stored, f.fixed, f.dynamic, f.literals, f.matches, f.consumed
 
-    return _parts(files, walk, [("data", pa.binary(), "binary"), *((n, pa.int64(), "long") for n in ("stored", "fixed", "dynamic", "literals", "matches", "consumed"))])
+    return _parts(files, walk, [("data", pa.binary(), "binary"), *((n, pa.int64(), "long") for n in ("stored", "fixed", "dynamic", "literals", "matches", "consumed"))], keep)
 
 
 def pixels_of(images: DataFrame) -> DataFrame:

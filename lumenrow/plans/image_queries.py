@@ -196,13 +196,6 @@ def pnm_maxval_scale(spark, sf_dir):
 # --- YUV ---------------------------------------------------------------------
 
 
-def _sql_yuv(y: str, u: str, v: str, matrix: str = "BT.601", range_: str = "limited") -> dict[str, str]:
-    c = yuv.coefficients(matrix, range_)
-    luma = f"({y} - {c['offset']}) * CAST({c['y']!r} AS DOUBLE)"
-    near = lambda x: f"CAST(least(greatest(round({x}), 0), 255) AS BIGINT)"
-    return {"r": near(f"{luma} + CAST({c['rv']!r} AS DOUBLE) * ({v} - 128)"), "g": near(f"{luma} - CAST({c['gu']!r} AS DOUBLE) * ({u} - 128) - CAST({c['gv']!r} AS DOUBLE) * ({v} - 128)"), "b": near(f"{luma} + CAST({c['bu']!r} AS DOUBLE) * ({u} - 128)")}
-
-
 @query("""WITH m(matrix, kr, kb) AS (VALUES ('BT.601', 0.299::DOUBLE, 0.114::DOUBLE), ('BT.709', 0.2126::DOUBLE, 0.0722::DOUBLE), ('BT.2020', 0.2627::DOUBLE, 0.0593::DOUBLE)), g("range", luma, chroma) AS (VALUES ('full', 1.0::DOUBLE, 1.0::DOUBLE), ('limited', 255.0::DOUBLE / 219, 255.0::DOUBLE / 224))
     SELECT matrix, "range", printf('%.4f', luma) AS y, printf('%.4f', 2 * (1 - kr) * chroma) AS rv, printf('%.4f', kb * 2 * (1 - kb) / (1 - kr - kb) * chroma) AS gu, printf('%.4f', kr * 2 * (1 - kr) / (1 - kr - kb) * chroma) AS gv, printf('%.4f', 2 * (1 - kb) * chroma) AS bu FROM m, g""")
 def yuv_coefficients(spark, sf_dir):
@@ -210,50 +203,6 @@ def yuv_coefficients(spark, sf_dir):
     return spark.range(1).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
-_SIDE = 16
-_FRAME = _SIDE * _SIDE * 3 // 2
-
-
-def _yuv_420(spark: SparkSession, sf_dir: str, interleaved: bool) -> DataFrame:
-    """Each luma sample joined to its chroma by frame and place; frames of 16 x 16 out of the texts."""
-    rows = byte_rows(spark, sf_dir).where(f"i < n div {_FRAME} * {_FRAME}").select("doc_id", F.expr(f"i div {_FRAME}").alias("frame"), (F.col("i") % _FRAME).alias("o"), "v")
-    y = rows.where(F.col("o") < _SIDE * _SIDE).select("doc_id", "frame", (F.col("o") % _SIDE).alias("x"), F.expr(f"o div {_SIDE}").alias("y"), F.col("v").alias("luma")).withColumn("c", F.expr(f"y div 2 * {_SIDE // 2} + x div 2"))
-    rest = rows.where(F.col("o") >= _SIDE * _SIDE).withColumn("o", F.col("o") - _SIDE * _SIDE)
-    quarter = _SIDE * _SIDE // 4
-    place, plane = (F.expr("o div 2"), F.col("o") % 2) if interleaved else (F.col("o") % quarter, F.expr(f"o div {quarter}"))
-    chroma = rest.groupBy("doc_id", "frame", place.alias("c")).agg(F.max(F.when(plane == 0, F.col("v"))).alias("u"), F.max(F.when(plane == 1, F.col("v"))).alias("w"))
-    r, g, b = px.yuv_rgb(F.col("luma"), F.col("u"), F.col("w"), "BT.601", "limited")
-    return summed(y.join(chroma, ["doc_id", "frame", "c"]), ["doc_id", "frame"], F.col("y") * _SIDE + F.col("x"), r=r, g=g, b=b)
-
-
-def _sql_yuv_420(interleaved: bool) -> str:
-    q = _SIDE * _SIDE // 4
-    place, plane = ("o // 2", "o % 2") if interleaved else (f"o % {q}", f"o // {q}")
-    return f"""WITH {SQL_BYTES}, f AS (SELECT doc_id, i // {_FRAME} AS frame, i % {_FRAME} AS o, v FROM b WHERE i < n // {_FRAME} * {_FRAME}),
-        l AS (SELECT doc_id, frame, o % {_SIDE} AS x, o // {_SIDE} AS y, v AS luma, o // {_SIDE} // 2 * {_SIDE // 2} + o % {_SIDE} // 2 AS c FROM f WHERE o < {_SIDE * _SIDE}),
-        k AS (SELECT doc_id, frame, {place} AS c, max(CASE WHEN {plane} = 0 THEN v END) AS u, max(CASE WHEN {plane} = 1 THEN v END) AS w FROM (SELECT doc_id, frame, o - {_SIDE * _SIDE} AS o, v FROM f WHERE o >= {_SIDE * _SIDE}) GROUP BY ALL),
-        j AS (SELECT * FROM l JOIN k USING (doc_id, frame, c)) """ + sql_summed("doc_id, frame", f"y * {_SIDE} + x", "j", **_sql_yuv("luma", "u", "w"))
-
-
-@query(_sql_yuv_420(False))
-def yuv_i420_rgb(spark, sf_dir):
-    return _yuv_420(spark, sf_dir, False)
-
-
-@query(_sql_yuv_420(True))
-def yuv_nv12_rgb(spark, sf_dir):
-    return _yuv_420(spark, sf_dir, True)
-
-
-@query(f"WITH {sql_words(4)}, s AS (SELECT doc_id, 2 * k AS x, b0 AS luma, b1 AS u, b3 AS w FROM w UNION ALL SELECT doc_id, 2 * k + 1, b2, b1, b3 FROM w) " + sql_summed("doc_id", "x", "s", **_sql_yuv("luma", "u", "w", "BT.709", "full")))
-def yuv_packed_rgb(spark, sf_dir):
-    """YUY2: two pixels in four bytes."""
-    two = F.explode(F.array(F.struct((2 * F.col("k")).alias("x"), F.col("b0").alias("luma")), F.struct((2 * F.col("k") + 1).alias("x"), F.col("b2").alias("luma"))))
-    rows = words(spark, sf_dir, 4).select("doc_id", two.alias("p"), F.col("b1").alias("u"), F.col("b3").alias("w"))
-    r, g, b = px.yuv_rgb(F.col("p.luma"), F.col("u"), F.col("w"), "BT.709", "full")
-    return summed(rows, ["doc_id"], F.col("p.x"), r=r, g=g, b=b)
-
-
 _SIZES = {name: (f"{'2 * w * h' if layout == 'packed' else f'w * h + 2 * ((w + {sx - 1}) // {sx}) * ((h + {sy - 1}) // {sy})'}") for name, (layout, sx, sy, _) in yuv.FORMATS.items()}
 
 

@@ -41,31 +41,31 @@ def _grid(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.frombuffer(data + bytes(-len(data) % width), np.uint8).reshape(-1, width)
 
 
-def _checked(files: DataFrame, data: DataFrame, channel: int | None = 0) -> DataFrame:
-    """doc_id, n and Adler-32 of the first n bytes that came back; ``channel`` of RGBA pixels, or the data as it is."""
+def _checked(rows: DataFrame, channel: int | None = 0) -> DataFrame:
+    """From image_id, n and what came back doc_id, n and Adler-32 of the first n bytes; of RGBA pixels those of ``channel``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums = []
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                back = blob or b""
+            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                back = blob.as_py() or b""
                 sums.append(zlib.adler32((back[channel::4] if channel is not None else back)[:n]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["doc_id", "n", "adler"])
 
-    return files.select("image_id", "n").join(data, "image_id").mapInArrow(run, "doc_id long, n long, adler long")
+    return rows.mapInArrow(run, "doc_id long, n long, adler long")
 
 
 def _through(write: Callable[[bytes], bytes], channel: int = 0) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = written(spark, sf_dir, write)
-        return _checked(files, decode.decode_images(files).select("image_id", "pixels"), channel)
+        images = decode.decode_images(written(spark, sf_dir, write), keep=("n",))
+        return _checked(images.select("image_id", "n", "pixels"), channel)
 
     return run
 
 
 def _png(data: bytes) -> bytes:
     """All five filters in turn, over two chunks of data."""
-    rows = [[*r] for r in _grid(data).tolist()]
+    rows = _grid(data)
     return writers.png(WIDTH, len(rows), 8, 0, writers.filtered(rows, 1, [i % 5 for i in range(len(rows))]))
 
 
@@ -131,14 +131,14 @@ def webp_roundtrip(spark, sf_dir):
 @query(_SAME)
 def inflate_roundtrip(spark, sf_dir):
     files = written(spark, sf_dir, lambda b: zlib.compress(b, 6))
-    return _checked(files, decode.inflated(files).select("image_id", "data"), None)
+    return _checked(decode.inflated(files, keep=("n",)).select("image_id", "n", "data"), None)
 
 
 @query(f"WITH {SQL_BYTES} SELECT doc_id, CAST(max(n) AS BIGINT) AS n, CAST(sum((v - 128) * CASE WHEN i % {BLOCK_BYTES} = 0 THEN 8 ELSE 1 END * (i % 1009 + 1)) AS BIGINT) AS at_coef FROM b GROUP BY doc_id")
 def jpeg_entropy_roundtrip(spark, sf_dir):
     """The coefficients out of the entropy-coded data, times their steps."""
     files = written(spark, sf_dir, _jpeg)
-    blocks = decode.jpeg_coefficients(files).withColumn("coef", F.slice("coef", 1, BLOCK_BYTES)).join(files.select("image_id", "n"), "image_id")
+    blocks = decode.jpeg_coefficients(files, keep=("n",)).withColumn("coef", F.slice("coef", 1, BLOCK_BYTES))
     rows = blocks.select("image_id", "n", "block", F.posexplode("coef").alias("k", "c")).withColumn("i", F.col("block") * BLOCK_BYTES + F.col("k"))
     value = F.col("c").cast("long") * F.when(F.col("k") == 0, 8).otherwise(1)
     return rows.groupBy(F.col("image_id").alias("doc_id")).agg(F.max("n").alias("n"), F.sum(value * (F.col("i") % 1009 + 1)).alias("at_coef"))

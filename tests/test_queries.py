@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lumenrow.plans import image_queries, round_trips, view_queries  # noqa: F401
+from lumenrow.plans import decoded_queries, image_queries, round_trips, view_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
