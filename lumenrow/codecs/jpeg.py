@@ -60,8 +60,11 @@ def idct(blocks: np.ndarray) -> np.ndarray:
     """n x 8 x 8 coefficients to samples 0..255, exact in integers: columns, then rows with the level shift."""
     first, second = FIXED_BITS - PASS_BITS, FIXED_BITS + PASS_BITS + 3
     bounded = lambda x: np.clip(x, -32767, 32767)
-    work = (np.einsum("ij,njk->nik", TRANSFORM, bounded(blocks.astype(np.int64))) + (1 << (first - 1))) >> first
-    out = (np.einsum("ij,nkj->nki", TRANSFORM, bounded(work)) + (1 << (second - 1)) + (128 << second)) >> second
+    # products and their sums are whole numbers far below 2 ** 53, so matrix products of doubles are exact
+    weights = TRANSFORM.astype(float)
+    turned = lambda x: np.tensordot(bounded(x).astype(float), weights, axes=([1], [1])).astype(np.int64)
+    work = (turned(np.asarray(blocks).astype(np.int64)) + (1 << (first - 1))) >> first
+    out = (turned(work) + (1 << (second - 1)) + (128 << second)) >> second
     return np.clip(out, 0, 255).astype(np.uint8)
 
 

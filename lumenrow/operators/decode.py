@@ -191,8 +191,8 @@ def inflated(files: DataFrame, wrapped: bool = True, limit: int = inflate.DEFAUL
     return _parts(files, walk, [("data", pa.binary(), "binary"), *((n, pa.int64(), "long") for n in ("stored", "fixed", "dynamic", "literals", "matches", "consumed"))], keep)
 
 
-def pixels_of(images: DataFrame) -> DataFrame:
-    """image_id, x, y, r, g, b and a of every pixel of decoded images."""
+def pixels_of(images: DataFrame, sizes: bool = False) -> DataFrame:
+    """image_id, x, y, r, g, b and a of every pixel of decoded images; with ``sizes`` also the image's width and height, so that no join brings them back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -206,7 +206,8 @@ def pixels_of(images: DataFrame) -> DataFrame:
                     part = p[y0 : y0 + max(1, 65536 // w)]
                     y, x = np.divmod(np.arange(part.shape[0] * w, dtype=np.int32), w)
                     flat = part.reshape(-1, 4).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(x), i))), pa.array(x), pa.array(y + y0, pa.int32()), *(pa.array(flat[:, k]) for k in range(4))], names=["image_id", "x", "y", "r", "g", "b", "a"])
+                    size = [pa.array(np.full(len(x), n, np.int32)) for n in (w, len(p))] if sizes else []
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(x), i))), pa.array(x), pa.array(y + y0, pa.int32()), *(pa.array(flat[:, k]) for k in range(4)), *size], names=["image_id", "x", "y", "r", "g", "b", "a", "width", "height"][: 7 + len(size)])
 
     id_type = images.schema["image_id"].dataType.simpleString()
-    return images.where("pixels IS NOT NULL").select("image_id", "width", "pixels").mapInArrow(run, f"image_id {id_type}, x int, y int, r int, g int, b int, a int")
+    return images.where("pixels IS NOT NULL").select("image_id", "width", "pixels").mapInArrow(run, f"image_id {id_type}, x int, y int, r int, g int, b int, a int" + ", width int, height int" * sizes)

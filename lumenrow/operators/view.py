@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..codecs.model import MAX_PIXELS, MAX_SIDE
 from ..functions import pixels as px
 
 #: Scales that a view may have.
@@ -60,10 +61,48 @@ def probe(pixels: DataFrame, x: int, y: int) -> DataFrame:
     return pixels.where((F.col("x") == x) & (F.col("y") == y)).select("image_id", F.array(*CHANNELS).alias("channels"), packed.alias("rgba"))
 
 
-def oriented(pixels: DataFrame, sizes: DataFrame, orientation: int) -> DataFrame:
-    """Pixels turned and flipped as an EXIF orientation asks: a projection once each image's size is at hand."""
-    x, y = px.orient(F.col("x"), F.col("y"), F.col("width"), F.col("height"), orientation)
-    return pixels.join(sizes.select("image_id", "width", "height"), "image_id").select("image_id", x.cast("int").alias("x"), y.cast("int").alias("y"), *CHANNELS)
+def oriented(pixels: DataFrame, orientation: int) -> DataFrame:
+    """Pixels with their image's width and height, turned and flipped as an EXIF orientation asks: a projection. Width and height are the new ones."""
+    w, h = F.col("width"), F.col("height")
+    x, y = px.orient(F.col("x"), F.col("y"), w, h, orientation)
+    turned = (h, w) if orientation >= 5 else (w, h)
+    return pixels.select("image_id", x.cast("int").alias("x"), y.cast("int").alias("y"), *CHANNELS, turned[0].alias("width"), turned[1].alias("height"))
+
+
+def blank(sizes: DataFrame) -> DataFrame:
+    """Transparent black images of given sizes (image_id, width, height), with pixels as decoded images have them; sizes out of bounds leave null."""
+    n = F.col("width").cast("long") * F.col("height")
+    fits = (F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") <= MAX_SIDE) & (F.col("height") <= MAX_SIDE) & (n <= MAX_PIXELS)
+    return sizes.select("image_id", "width", "height", F.when(fits, F.expr("unhex(repeat('00', CAST(4L * width * height AS INT)))")).alias("pixels"))
+
+
+def with_pixel(pixels: DataFrame, x: int, y: int, rgba: tuple[int, int, int, int]) -> DataFrame:
+    """Pixels with the one at a place replaced; a place outside an image changes nothing."""
+    here = (F.col("x") == x) & (F.col("y") == y)
+    return pixels.withColumns({c: F.when(here, F.lit(v)).otherwise(F.col(c)).cast("int") for c, v in zip(CHANNELS, rgba, strict=True)})
+
+
+def with_metadata(images: DataFrame, **changes: Column) -> DataFrame:
+    """Decoded images with some of their metadata replaced, the rest as it was."""
+    unknown = [c for c in changes if c not in images.columns]
+    if unknown:
+        raise ValueError(f"no metadata {', '.join(unknown)}")
+    return images.withColumns({c: v.cast(images.schema[c].dataType) for c, v in changes.items()})
+
+
+def zoomed(scale: Column, factor: float) -> Column:
+    """The scale after a step nearer or further away, within bounds."""
+    return F.greatest(F.least(scale * factor, F.lit(MOST_SCALE)), F.lit(LEAST_SCALE))
+
+
+def centred(width: Column, height: Column, view_width: int, view_height: int, scale: Column) -> tuple[Column, Column]:
+    """Where the upper left corner of a scaled image lies if the centres of image and view agree."""
+    return F.lit(view_width / 2) - scale * width / 2, F.lit(view_height / 2) - scale * height / 2
+
+
+def suggests_raw(error: Column) -> Column:
+    """Only a file that no decoder knows may be raw frames."""
+    return F.coalesce(error["kind"] == "unknown", F.lit(False))
 
 
 def fitted_scale(width: Column, height: Column, view_width: int, view_height: int, fill: bool = False) -> Column:

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import writers
-from ..operators import decode
+from ..operators import decode, view
 from .image_queries import query
-from .recipes import SQL_BYTES, contents
+from .recipes import SQL_BYTES, contents, sql_padded
 from .round_trips import written
 
 _CHANNELS = "rgba"
@@ -42,11 +42,6 @@ def image_sums(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "doc_id long, width int, height int, n long, " + ", ".join(f"{s}_{c} long" for c in _CHANNELS for s in ("sum", "at")))
 
 
-def sql_padded(unit: int) -> str:
-    """pb: doc_id, i, v of each text's bytes and the zeros that fill it up to a multiple of ``unit``; s: doc_id and the size m of that."""
-    return f"{SQL_BYTES}, s AS (SELECT doc_id, max(n) AS n, (max(n) + {unit - 1}) // {unit} * {unit} AS m FROM b GROUP BY doc_id), pb AS (SELECT doc_id, i, v FROM b UNION ALL SELECT doc_id, unnest(range(n, m)), 0 FROM s)"
-
-
 def sql_grouped(k: int) -> str:
     """w: doc_id, g and bytes b0, b1, ... of each group of k bytes of pb."""
     return f"w AS (SELECT doc_id, i // {k} AS g, " + ", ".join(f"max(CASE WHEN i % {k} = {j} THEN v END) AS b{j}" for j in range(k)) + f" FROM pb GROUP BY doc_id, i // {k})"
@@ -475,11 +470,11 @@ FAULTS: tuple[tuple[str, bytes, str, str | None], ...] = (
 )
 
 
-@query("WITH f(name, kind, format) AS (VALUES " + ", ".join(f"('{n}', '{k}', {repr(f) if f else 'NULL'})" for n, _, k, f in FAULTS) + ") SELECT name, kind, format, false AS decoded FROM f")
+@query("WITH f(name, kind, format) AS (VALUES " + ", ".join(f"('{n}', '{k}', {repr(f) if f else 'NULL'})" for n, _, k, f in FAULTS) + ") SELECT name, kind, format, false AS decoded, kind = 'unknown' AS raw FROM f")
 def fault_classes(spark, sf_dir):
     """Files with one fault each: malformed, unsupported and unknown are told apart, and no file ends the job."""
     rows = spark.createDataFrame([(n, bytearray(d)) for n, d, _, _ in FAULTS], "image_id string, content binary")
-    return decode.decode_images(rows).select(F.col("image_id").alias("name"), F.col("error.kind").alias("kind"), F.col("error.format").alias("format"), F.col("pixels").isNotNull().alias("decoded"))
+    return decode.decode_images(rows).select(F.col("image_id").alias("name"), F.col("error.kind").alias("kind"), F.col("error.format").alias("format"), F.col("pixels").isNotNull().alias("decoded"), view.suggests_raw(F.col("error")).alias("raw"))
 
 
 #: name, file, and what its metadata say

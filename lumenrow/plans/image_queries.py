@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..codecs import jpeg, png, webp, yuv
 from ..functions import bytesx
 from ..functions import pixels as px
 from ..operators import decode
-from .recipes import RASTER_WIDTH, SQL_BYTES, SQL_RASTER, arrays, byte_rows, contents, raster, sql_summed, sql_words, summed, table, words
+from .recipes import RASTER_WIDTH, SQL_BYTES, SQL_RASTER, arrays, byte_rows, contents, raster, sql_padded, sql_summed, sql_words, summed, table, value_sums, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,7 +133,7 @@ def _sql_mask(word: str, mask: int) -> str:
     return f"(({word} // {1 << shift} % {top + 1}) * 255 + {top // 2}) // {top}"
 
 
-@query(f"WITH {sql_words(2)}, s AS (SELECT doc_id, k, b0 + 256 * b1 AS word FROM w) " + sql_summed("doc_id", "k", "s", **{f"{c}{name}": _sql_mask("word", m) for name, masks in MASKS.items() for c, m in zip("rgb", masks, strict=True)}))
+@query(f"WITH {sql_words(2)}, z AS (SELECT doc_id, k, b0 + 256 * b1 AS word FROM w) " + sql_summed("doc_id", "k", "z", **{f"{c}{name}": _sql_mask("word", m) for name, masks in MASKS.items() for c, m in zip("rgb", masks, strict=True)}))
 def bmp_channel_masks(spark, sf_dir):
     w = words(spark, sf_dir, 2).select("doc_id", "k", (F.col("b0") + 256 * F.col("b1")).alias("word"))
     return summed(w, ["doc_id"], F.col("k"), **{f"{c}{name}": px.mask_channel(F.col("word"), m) for name, masks in MASKS.items() for c, m in zip("rgb", masks, strict=True)})
@@ -171,8 +172,7 @@ def bmp_implicit_alpha(spark, sf_dir):
 def _ascii_graymaps(spark: SparkSession, sf_dir: str, maxval: int) -> DataFrame:
     """doc_id, content: P2 files of the rasters with a comment in the header."""
     body = F.array_join(F.transform("b", lambda v: (v % (maxval + 1)).cast("string")), " ")
-    h = F.expr(f"n div {RASTER_WIDTH}")
-    return arrays(spark, sf_dir).withColumn("h", h).where("h > 0").withColumn("b", F.slice("b", F.lit(1), (F.col("h") * RASTER_WIDTH).cast("int"))).select("doc_id", F.concat(F.lit(f"P2 # gray\n{RASTER_WIDTH} "), F.col("h").cast("string"), F.lit(f"\n{maxval}\n"), body).alias("content"))
+    return arrays(spark, sf_dir, RASTER_WIDTH).withColumn("h", F.expr(f"size(b) div {RASTER_WIDTH}")).select("doc_id", F.concat(F.lit(f"P2 # gray\n{RASTER_WIDTH} "), F.col("h").cast("string"), F.lit(f"\n{maxval}\n"), body).alias("content"))
 
 
 @query(f"WITH {SQL_RASTER} SELECT doc_id, CAST(max(h) AS BIGINT) AS height, count(*) AS n, CAST(sum(((v % 100) * 255 + 49) // 99) AS BIGINT) AS sum_v, CAST(sum(((v % 100) * 255 + 49) // 99 * ((y * {RASTER_WIDTH} + x) % 1009 + 1)) AS BIGINT) AS at_v FROM p GROUP BY doc_id")
@@ -233,19 +233,15 @@ def yuv_guess_height(spark, sf_dir):
 # --- PNG ---------------------------------------------------------------------
 
 
-@query(f"WITH {SQL_RASTER}, s AS (SELECT doc_id, x, y, sum(v) OVER (PARTITION BY doc_id, y, x % 3 ORDER BY x ROWS UNBOUNDED PRECEDING) % 256 AS u FROM p) " + sql_summed("doc_id", f"y * {RASTER_WIDTH} + x", "s", u="u"))
+@query(f"WITH {sql_padded(48)}, u AS (SELECT doc_id, i, sum(v) OVER (PARTITION BY doc_id, i // 48, i % 3 ORDER BY i ROWS UNBOUNDED PRECEDING) % 256 AS u FROM pb) " + sql_summed("doc_id", "i", "u", u="u"))
 def png_unfilter_sub(spark, sf_dir):
-    """Sub is a running sum along the row, for each byte of a pixel."""
-    lane = Window.partitionBy("doc_id", "y", F.col("x") % 3).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    rows = raster(spark, sf_dir).withColumn("u", F.pmod(F.sum("v").over(lane), F.lit(256)))
-    return summed(rows, ["doc_id"], F.col("y") * RASTER_WIDTH + F.col("x"), u=F.col("u"))
+    """Sub is a running sum along the row, for each byte of a pixel; rows of 16 pixels."""
+    return value_sums(spark, sf_dir, 48, u=lambda v: png.unfilter(v.reshape(-1, 48), np.full(len(v) // 48, 1), 3))
 
 
-@query(f"WITH {SQL_RASTER}, s AS (SELECT doc_id, x, y, sum(v) OVER (PARTITION BY doc_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) % 256 AS u FROM p) " + sql_summed("doc_id", f"y * {RASTER_WIDTH} + x", "s", u="u"))
+@query(f"WITH {SQL_RASTER}, u AS (SELECT doc_id, x, y, sum(v) OVER (PARTITION BY doc_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) % 256 AS u FROM p) " + sql_summed("doc_id", f"y * {RASTER_WIDTH} + x", "u", u="u"))
 def png_unfilter_up(spark, sf_dir):
-    column = Window.partitionBy("doc_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    rows = raster(spark, sf_dir).withColumn("u", F.pmod(F.sum("v").over(column), F.lit(256)))
-    return summed(rows, ["doc_id"], F.col("y") * RASTER_WIDTH + F.col("x"), u=F.col("u"))
+    return value_sums(spark, sf_dir, RASTER_WIDTH, u=lambda v: png.unfilter(v.reshape(-1, RASTER_WIDTH), np.full(len(v) // RASTER_WIDTH, 2), 1))
 
 
 @query(f"WITH {sql_words(3)}, p AS (SELECT *, abs(b1 - b2) AS pa, abs(b0 - b2) AS pb, abs(b0 + b1 - 2 * b2) AS pc FROM w) " + sql_summed("doc_id", "k", "p", guess="CASE WHEN pa <= pb AND pa <= pc THEN b0 WHEN pb <= pc THEN b1 ELSE b2 END", mean="(b0 + b1) // 2"))
@@ -268,7 +264,8 @@ def png_trns_key(spark, sf_dir):
     return alpha.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("a") == 0).cast("long")).alias("transparent"), F.bool_or(F.col("a") != 255).alias("has_transparency"))
 
 
-_SQL_ADAM7 = f"a(pass, x0, y0, dx, dy) AS (VALUES {', '.join(str((i + 1, *p)) for i, p in enumerate(png.ADAM7))})"
+# Number, first column and row, and steps of each pass.
+_SQL_ADAM7 = "a(pass, x0, y0, dx, dy) AS (VALUES (1, 0, 0, 8, 8), (2, 4, 0, 8, 8), (3, 0, 4, 4, 8), (4, 2, 0, 4, 4), (5, 0, 2, 2, 4), (6, 1, 0, 2, 2), (7, 0, 1, 1, 2))"
 
 
 @query(f"""WITH {_SQL_ADAM7}, d AS (SELECT doc_id, CAST(doc_id % 50 + 1 AS BIGINT) AS w, CAST(octet_length(encode(text)) % 40 + 1 AS BIGINT) AS h FROM documents),
@@ -285,27 +282,39 @@ def adam7_geometry(spark, sf_dir):
 # --- JPEG --------------------------------------------------------------------
 
 
+# The transform's weights in fixed point, each output sample's row over the eight frequencies.
+_WEIGHTS = (
+    (4096, 5681, 5352, 4816, 4096, 3218, 2217, 1130),
+    (4096, 4816, 2217, -1131, -4096, -5682, -5351, -3219),
+    (4096, 3218, -2217, -5682, -4096, 1130, 5351, 4816),
+    (4096, 1130, -5352, -3219, 4096, 4816, -2217, -5682),
+    (4096, -1130, -5352, 3219, 4096, -4816, -2217, 5682),
+    (4096, -3218, -2217, 5682, -4096, -1130, 5351, -4816),
+    (4096, -4816, 2217, 1131, -4096, 5682, -5351, 3219),
+    (4096, -5681, 5352, -4816, 4096, -3218, 2217, -1130),
+)
+
+
 def _sql_idct() -> str:
-    """Two passes of the integer transform over blocks of 64 bytes less 128, as sums over the transform's matrix."""
-    m = ", ".join(str((i, j, w)) for i, row in enumerate(jpeg.TRANSFORM.tolist()) for j, w in enumerate(row))
-    return f"""WITH {SQL_BYTES}, m(o, k, wt) AS (VALUES {m}), c AS (SELECT doc_id, i // 64 AS block, i % 64 // 8 AS r, i % 8 AS c, (v - 128) * 3 AS s FROM b WHERE i < n // 64 * 64),
+    """Two passes of the integer transform over blocks of 64 bytes less 128, as sums over the transform's weights."""
+    m = ", ".join(str((i, j, w)) for i, row in enumerate(_WEIGHTS) for j, w in enumerate(row))
+    return f"""WITH {sql_padded(64)}, m(o, k, wt) AS (VALUES {m}), c AS (SELECT doc_id, i // 64 AS block, i % 64 // 8 AS r, i % 8 AS c, (v - 128) * 3 AS s FROM pb),
         q AS (SELECT doc_id, block, o AS r, c, CAST(floor((sum(s * wt) + 512) / 1024) AS BIGINT) AS s FROM c JOIN m ON c.r = m.k GROUP BY ALL),
         f AS (SELECT doc_id, block, r, o AS c, least(255, greatest(0, CAST(floor((sum(s * wt) + 65536 + 16777216) / 131072) AS BIGINT))) AS s FROM q JOIN m ON q.c = m.k GROUP BY ALL) """ + sql_summed("doc_id", "block * 64 + r * 8 + c", "f", s="s")
 
 
 @query(_sql_idct())
 def jpeg_idct_fast(spark, sf_dir):
-    """Blocks of 64 bytes, in natural order, through the exact integer transform, a row a block."""
-    blocks = F.expr("transform(sequence(0, n div 64 - 1), k -> transform(slice(b, CAST(k * 64 + 1 AS INT), 64), v -> CAST((v - 128) * 3 AS BIGINT)))")
-    rows = arrays(spark, sf_dir).where("n >= 64").select("doc_id", F.posexplode(blocks).alias("k", "coef"))
-    samples = rows.select("doc_id", "k", F.posexplode(px.idct_block(F.col("coef"))).alias("i", "s"))
-    return summed(samples, ["doc_id"], F.col("k") * 64 + F.col("i"), s=F.col("s"))
+    """Blocks of 64 bytes, in natural order, through the exact integer transform, all of a text's at once."""
+    return value_sums(spark, sf_dir, 64, s=lambda v: jpeg.idct((v.astype(np.int64).reshape(-1, 8, 8) - 128) * 3))
 
 
 _NATURAL = jpeg.ZIGZAG.tolist()
 
 
-@query(f"WITH e AS (SELECT vec_id, CAST(round(embedding[i + 1]::DOUBLE * 1000) AS BIGINT) * (1 + i) AS v, ({_NATURAL})[i + 1] AS place FROM embeddings, range(64) AS t(i)) SELECT vec_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(v * (place + 1)) AS BIGINT) AS at_v FROM e GROUP BY vec_id")
+#: The order by its rule: along diagonals, upwards on even ones.
+@query("""WITH z AS (SELECT row_number() OVER (ORDER BY x + y, CASE WHEN (x + y) % 2 = 0 THEN x ELSE y END) - 1 AS i, 8 * y + x AS place FROM range(8) AS r(x), range(8) AS q(y)),
+    e AS (SELECT vec_id, CAST(round(embedding[i + 1]::DOUBLE * 1000) AS BIGINT) * (1 + i) AS v, place FROM embeddings, z) SELECT vec_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(v * (place + 1)) AS BIGINT) AS at_v FROM e GROUP BY vec_id""")
 def jpeg_dequant_zigzag(spark, sf_dir):
     """Stored coefficients times their steps, put to their natural places."""
     coef = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
@@ -317,7 +326,7 @@ def jpeg_dequant_zigzag(spark, sf_dir):
 
 def _sql_ycc(y: str, cb: str, cr: str) -> dict[str, str]:
     shifted = lambda x: f"least(255, greatest(0, {y} + CAST(floor(({x} + 32768) / 65536) AS BIGINT)))"
-    return {"r": shifted(f"({cr} - 128) * {jpeg.CR_R}"), "g": shifted(f"({cb} - 128) * {jpeg.CB_G} + ({cr} - 128) * {jpeg.CR_G}"), "b": shifted(f"({cb} - 128) * {jpeg.CB_B}")}
+    return {"r": shifted(f"({cr} - 128) * 91881"), "g": shifted(f"({cb} - 128) * -22554 + ({cr} - 128) * -46802"), "b": shifted(f"({cb} - 128) * 116130")}
 
 
 @query(f"WITH {sql_words(3)} " + sql_summed("doc_id", "k", "w", **_sql_ycc("b0", "b1", "b2")))
@@ -359,13 +368,11 @@ def jpeg_upsample_h2v2(spark, sf_dir):
     return summed(rows, ["doc_id"], F.col("y") * 2 * RASTER_WIDTH + F.col("x"), v=F.shiftright(F.col("v") + 8 - F.col("x") % 2, 4))
 
 
-def _sql_orient(o: int) -> str:
-    swap, fx, fy = jpeg.ORIENTATIONS[o]
-    x, y, w, h = ("y", "x", "h", str(RASTER_WIDTH)) if swap else ("x", "y", str(RASTER_WIDTH), "h")
-    return f"({f'{h} - 1 - {y}' if fy else y}) * {w} + {f'{w} - 1 - {x}' if fx else x}"
+#: Where a pixel (x, y) of an image of 32 columns and h rows lands, by orientation: as it is, mirrored, half turned, flipped, and the same for the transposed image.
+_SQL_ORIENT = ("y * 32 + x", "y * 32 + 31 - x", "(h - 1 - y) * 32 + 31 - x", "(h - 1 - y) * 32 + x", "x * h + y", "x * h + h - 1 - y", "(31 - x) * h + h - 1 - y", "(31 - x) * h + y")
 
 
-@query(f"WITH {SQL_RASTER} SELECT doc_id, " + ", ".join(f"CAST(sum(v * (({_sql_orient(o)}) % 1009 + 1)) AS BIGINT) AS o{o}" for o in jpeg.ORIENTATIONS) + " FROM p GROUP BY doc_id")
+@query(f"WITH {SQL_RASTER} SELECT doc_id, " + ", ".join(f"CAST(sum(v * (({place}) % 1009 + 1)) AS BIGINT) AS o{o}" for o, place in enumerate(_SQL_ORIENT, 1)) + " FROM p GROUP BY doc_id")
 def jpeg_orientation(spark, sf_dir):
     """Every orientation as a projection of coordinates."""
     made = []
@@ -403,7 +410,7 @@ def _sql_delta(factor: str, value: str) -> str:
     return f"CAST(floor({_S8.format(factor)} * {_S8.format(value)} / 32) AS BIGINT)"
 
 
-@query(f"WITH {sql_words(6)}, r AS (SELECT *, (((b1 + {_sql_delta('b3', 'b0')}) % 256) + 256) % 256 AS red FROM w), s AS (SELECT *, (((b2 + {_sql_delta('b4', 'b0')} + {_sql_delta('b5', 'red')}) % 256) + 256) % 256 AS blue FROM r) " + sql_summed("doc_id", "k", "s", red="red", blue="blue"))
+@query(f"WITH {sql_words(6)}, r AS (SELECT *, (((b1 + {_sql_delta('b3', 'b0')}) % 256) + 256) % 256 AS red FROM w), z AS (SELECT *, (((b2 + {_sql_delta('b4', 'b0')} + {_sql_delta('b5', 'red')}) % 256) + 256) % 256 AS blue FROM r) " + sql_summed("doc_id", "k", "z", red="red", blue="blue"))
 def webp_cross_color(spark, sf_dir):
     """Green foretells red, green and the new red foretell blue."""
     b = [F.col(f"b{j}") for j in range(6)]
@@ -421,9 +428,7 @@ def webp_add_green(spark, sf_dir):
 @query(f"WITH {sql_words(4)}, c AS (SELECT doc_id, k, " + ", ".join(f"sum(b{j}) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) % 256 AS c{j}" for j in range(4)) + " FROM w) " + sql_summed("doc_id", "k", "c", argb="c0 * 16777216 + c1 * 65536 + c2 * 256 + c3"))
 def webp_color_map(spark, sf_dir):
     """Palette entries are running sums of their differences, channel by channel."""
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = words(spark, sf_dir, 4).select("doc_id", "k", px.pack(*(F.sum(f"b{j}").over(w) for j in range(4))).alias("argb"))
-    return summed(rows, ["doc_id"], F.col("k"), argb=F.col("argb"))
+    return value_sums(spark, sf_dir, 4, argb=lambda v: np.cumsum(v.reshape(-1, 4), axis=0, dtype=np.int64) % 256 @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
 
 
 @query(f"WITH {sql_words(3)}, h AS (SELECT *, (b0 + b1) // 2 AS m FROM w) " + sql_summed("doc_id", "k", "h", full="least(255, greatest(0, b0 + b1 - b2))", half="least(255, greatest(0, m + sign(m - b2)::BIGINT * (abs(m - b2) // 2)))", mean="((b0 + b2) // 2 + b1) // 2", pick="CASE WHEN abs(b1 - b2) < abs(b0 - b2) THEN b0 ELSE b1 END"))
@@ -442,7 +447,7 @@ def webp_plane_distance(spark, sf_dir):
     return rows.join(F.broadcast(near), "code", "left").select("doc_id", F.col("code").cast("long").alias("code"), far.cast("long").alias("distance"))
 
 
-@query(f"WITH {sql_words(4)}, s AS (SELECT doc_id, k, b0 * 16777216 + b1 * 65536 + b2 * 256 + b3 AS argb FROM w) " + sql_summed("doc_id", "k", "s", slot=f"CAST((argb::HUGEINT * {webp.HASH}) % 4294967296 AS BIGINT) // 4194304"))
+@query(f"WITH {sql_words(4)}, z AS (SELECT doc_id, k, b0 * 16777216 + b1 * 65536 + b2 * 256 + b3 AS argb FROM w) " + sql_summed("doc_id", "k", "z", slot=f"CAST((argb::HUGEINT * 506832829) % 4294967296 AS BIGINT) // 4194304"))
 def webp_cache_slot(spark, sf_dir):
     a, r, g, b = (F.col(f"b{j}") for j in range(4))
     return summed(words(spark, sf_dir, 4), ["doc_id"], F.col("k"), slot=px.cache_slot(px.pack(a, r, g, b), 10))

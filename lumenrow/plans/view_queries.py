@@ -30,10 +30,10 @@ def channel_histogram(spark, sf_dir):
 
 @query(f"WITH {_SQL_PIXELS}, g AS (SELECT doc_id, x + 1 AS w, y, v, x FROM p), z AS (SELECT doc_id, max(y) + 1 AS h FROM p GROUP BY doc_id), t AS (SELECT p.doc_id, h - 1 - y AS x, x AS y, h, v FROM p JOIN z ON p.doc_id = z.doc_id) " + sql_summed("doc_id", "y * h + x", "t", v="v"))
 def rotated_pixels(spark, sf_dir):
-    """Orientation 6: a quarter turn to the right."""
+    """Orientation 6: a quarter turn to the right, of pixels that carry their image's size."""
     images = _images(spark, sf_dir)
-    turned = view.oriented(decode.pixels_of(images), images, 6).join(images.select("image_id", "height"), "image_id").withColumnRenamed("image_id", "doc_id")
-    return summed(turned, ["doc_id"], F.col("y") * F.col("height") + F.col("x"), v=F.col("g"))
+    turned = view.oriented(decode.pixels_of(images, sizes=True), 6).withColumnRenamed("image_id", "doc_id")
+    return summed(turned, ["doc_id"], F.col("y") * F.col("width") + F.col("x"), v=F.col("g"))
 
 
 @query(f"WITH {_SQL_PIXELS}, t AS (SELECT doc_id, x // 2 AS x, y // 2 AS y, v FROM p WHERE x % 2 = 0 AND y % 2 = 0) " + sql_summed("doc_id", f"y * {WIDTH} + x", "t", v="v"))
@@ -65,3 +65,23 @@ def error_details(spark, sf_dir):
 
     files = written(spark, sf_dir, lambda b: writers.png(1, 1, 8, 0, [b"\0\0"], [(b"noTe", b)])[:80]).where("n > 100")
     return decode.decode_images(files).select(F.col("image_id").alias("doc_id"), view.error_detail(F.col("error")).alias("detail"))
+
+
+@query(f"WITH d AS (SELECT doc_id, (octet_length(encode(text)) + {WIDTH - 1}) // {WIDTH} AS h FROM documents WHERE octet_length(encode(text)) > 0), f AS (SELECT doc_id, h, least(640::DOUBLE / {WIDTH}, 480::DOUBLE / h, 64) * 1.25 AS z FROM d), c AS (SELECT doc_id, h, least(greatest(z, 0.05), 64) AS scale FROM f) SELECT doc_id, scale, 320 - scale * {WIDTH} / 2 AS x, 240 - scale * h / 2 AS y FROM c")
+def view_zoom_and_centre(spark, sf_dir):
+    """Images fitted into a view of 640 x 480, brought nearer by a quarter, and where their corners then lie."""
+    images = _images(spark, sf_dir).select(F.col("image_id").alias("doc_id"), "width", "height")
+    fit = F.least(F.lit(640.0) / F.col("width"), F.lit(480.0) / F.col("height"), F.lit(view.MOST_SCALE))
+    zoomed = images.withColumn("scale", view.zoomed(fit, 1.25))
+    x, y = view.centred(F.col("width"), F.col("height"), 640, 480, F.col("scale"))
+    return zoomed.select("doc_id", "scale", x.alias("x"), y.alias("y"))
+
+
+@query("SELECT t AS name, false AS is_directory, CAST(NULL AS VARCHAR) AS error FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS v(n), LATERAL (SELECT n || '.parquet' AS t) UNION ALL SELECT 'nowhere', false, 'no such folder'")
+def directory_listing(spark, sf_dir):
+    """The tables' own folder, and one that isn't there: its failure is a row."""
+    from ..sources import images
+
+    found = images.list_directory(spark, sf_dir, ("parquet",)).select("name", "is_directory", "error")
+    missing = images.list_directory(spark, f"{sf_dir}/nowhere").select("name", "is_directory", "error")
+    return found.unionByName(missing)

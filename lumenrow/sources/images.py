@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,34 @@ def list_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXT
     return found.select("path", name.alias("name"), bytesx.file_extension(name).alias("extension"), "length", bytesx.byte_size_label(F.col("length")).alias("size")).orderBy(F.lower("name"), "path")
 
 
+ENTRY = "name string, path string, is_directory boolean, size_bytes long, error string"
+
+
+def list_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """name, path, is_directory, size_bytes and error of a folder's entries, directories first.
+
+    Names that begin with a dot, links, and files of other extensions are left
+    out; nothing is opened and no folder below is entered. A folder that can't
+    be listed is one row with its name and why, not a failed job. The entries of
+    one folder are listed by the driver, as any scan of it would.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return spark.createDataFrame([(folder.getName(), path, False, None, "no such folder")], ENTRY)
+        rows = []
+        for status in system.listStatus(folder):
+            name, is_folder = status.getPath().getName(), status.isDirectory()
+            extension = name.rpartition(".")[2].lower() if "." in name else ""
+            if not name.startswith(".") and not status.isSymlink() and (is_folder or extension in extensions):
+                rows.append((name, status.getPath().toString(), is_folder, None if is_folder else status.getLen(), None))
+    except Py4JJavaError as failed:
+        return spark.createDataFrame([(folder.getName(), path, False, None, failed.java_exception.getMessage())], ENTRY)
+    return browse_order(spark.createDataFrame(rows, ENTRY))
+
+
 def browse_order(entries: DataFrame) -> DataFrame:
     """Directory entries (name, is_directory), directories first, then by lower-cased name."""
     return entries.orderBy(F.col("is_directory").desc(), F.lower("name"), "name")

@@ -131,6 +131,56 @@ def test_pnm():
             pnm.decode(bad)
 
 
+def test_samples_written_by_hand():
+    """Files and pixels as the formats' descriptions give them, not by the writers here."""
+    red, green, blue, white = (255, 0, 0, 255), (0, 255, 0, 255), (0, 0, 255, 255), (255, 255, 255, 255)
+    # 2 x 2 RGB in one stored block: blue, white; red, green
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = bytes.fromhex("00 0000FF FFFFFF 00 FF0000 00FF00")
+    stored = bytes.fromhex("7801 01 0E00 F1FF") + raw + struct.pack(">I", zlib.adler32(raw))
+    file = bytes.fromhex("89504E470D0A1A0A") + chunk(b"IHDR", bytes.fromhex("00000002 00000002 08 02 00 00 00")) + chunk(b"IDAT", stored) + chunk(b"IEND", b"")
+    image = png.decode(file, counted=True)
+    assert len(file) == 82 and [tuple(p) for p in image.pixels.reshape(-1, 4).tolist()] == [blue, white, red, green]
+    assert image.extra["deflate blocks"] == "stored x 1" and image.extra["filters"] == "None x 2" and image.extra["chunks"] == "3"
+    for at in (19, 50, 76):
+        bad = bytearray(file)
+        bad[at] ^= 1
+        with pytest.raises(model.DecodeError):
+            png.decode(bytes(bad))
+    # 2 x 2, 24 bits, the last row first and filled up to 8 bytes
+    head = bytes.fromhex("424D 46000000 0000 0000 36000000 28000000 02000000 02000000 0100 1800 00000000 10000000 130B0000 130B0000 00000000 00000000")
+    assert [tuple(p) for p in bmp.decode(head + bytes.fromhex("0000FF FFFFFF 0000 FF0000 00FF00 0000")).pixels.reshape(-1, 4).tolist()] == [blue, green, red, white]
+    # the three ASCII kinds
+    assert pnm.decode(b"P1\n# a ring's corner\n4 2\n0110\n1 0 0 1").pixels[:, :, 0].tolist() == [[255, 0, 0, 255], [0, 255, 255, 0]]
+    assert pnm.decode(b"P2\n4 1\n15\n0 1 8 15").pixels[0, :, 0].tolist() == [0, 17, 136, 255]
+    assert [tuple(p) for p in pnm.decode(b"P3\n2 1\n255\n255 0 0 0 255 0").pixels[0].tolist()] == [red, green]
+    # one lossless WebP pixel: all five codes are single symbols
+    bits = model.LsbBits(webp.decode(e.webp(e.vp8l(np.array([[0xFF102030]])))).pixels.tobytes())
+    assert bits.aligned_bytes(4) == bytes([0x10, 0x20, 0x30, 0xFF])
+
+
+def test_jpeg_faults():
+    """DC sizes over 15, and a refinement whose run leads over the band's end."""
+    one = np.zeros((1, 64), int)
+    one[0, 0] = 5
+    good = e.jpeg(8, 8, [(1, 1, 1, 0, one)], [[1] * 64])
+    at = good.index(b"\xff\xda") + 10
+    assert good[at] == 3 and jpeg.decode(good).pixels[0, 0, 0] == 129
+    for size in (16, 40):
+        with pytest.raises(model.DecodeError, match="DC size"):
+            jpeg.decode(good[:at] + bytes([size]) + good[at + 1 :])
+    reader = jpeg.ScanReader.__new__(jpeg.ScanReader)
+    w = e.BitWriter(True)
+    w.put(0x51, 8)  # five zeros, then a new coefficient: the band of three has no place for it
+    w.put(1, 1)
+    reader.bits, reader.run = model.MsbBits(w.bytes(1)), 0
+    reader.scan = type("S", (), {"start": 1, "end": 3, "low": 0, "parts": [(None, 0, 0)]})()
+    reader.code = lambda kind, table: type("C", (), {"read": staticmethod(lambda bits: bits.read(8))})()
+    out = np.zeros(64, np.int16)
+    reader.ac_refine(0, out)
+    assert not out.any()
+
+
 def test_yuv():
     data = bytes.fromhex("4C4C96964C4C9696552CFF15")
     assert yuv.decode(data, yuv.Options(4, 2, range="full")).pixels[0].tolist() == [[254, 0, 0, 255]] * 2 + [[0, 255, 1, 255]] * 2
@@ -141,6 +191,7 @@ def test_yuv():
         o = yuv.Options(6, 4, name, frame=1)
         raw = RNG.integers(0, 256, o.frame_size * 2, np.uint8).tobytes()
         assert yuv.decode(raw, o).pixels.shape == (4, 6, 4)
+        assert all(yuv.exact_height(w, name, yuv.Options(w, h, name).frame_size) == next(g for g in range(1, h + 1) if yuv.Options(w, g, name).frame_size == yuv.Options(w, h, name).frame_size) for w in (2, 6) for h in range(1, 40))
         assert yuv.exact_height(6, name, o.frame_size) in (3, 4) and yuv.largest_height(6, name, o.frame_size + 1) >= 4
     with pytest.raises(model.DecodeError):
         yuv.decode(b"ab", yuv.Options(4, 2))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenrow.codecs import writers
 from lumenrow.functions import bytesx
 from lumenrow.functions import pixels as px
-from lumenrow.operators import decode
+from lumenrow.operators import decode, view
 from lumenrow.sources import images
 from lumenrow.streaming import arrivals
 
@@ -82,3 +82,37 @@ def test_arrivals(spark, folder, tmp_path):
     query = out.select("image_id", "format").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r["image_id"], r["format"]) for r in spark.table("arrived").collect()} == {("b.PNG", "PNG"), ("a.ppm", "PNM")}
+
+
+def test_directory_listing(spark, folder, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "A2.bmp").write_bytes(b"BM")
+    rows = images.list_directory(spark, folder).collect()
+    assert [(r["name"], r["is_directory"]) for r in rows] == [("sub", True), ("a.ppm", False), ("A2.bmp", False), ("b.PNG", False), ("cut.png", False), ("lossy.webp", False)]
+    assert rows[2]["size_bytes"] == 2 and rows[0]["size_bytes"] is None and all(r["error"] is None for r in rows)
+    missing = images.list_directory(spark, folder + "/none").collect()
+    assert len(missing) == 1 and missing[0]["error"] == "no such folder"
+    assert "pam" in images.EXTENSIONS and len(images.EXTENSIONS) == 22
+
+
+def test_images_are_changed_by_expressions(spark):
+    decoded = decode.decode_images(files(spark, GRAY), keep=())
+    pixels = view.with_pixel(decode.pixels_of(decoded, sizes=True), 1, 0, (1, 2, 3, 4))
+    got = {(r["x"], r["y"]): (r["r"], r["g"], r["b"], r["a"]) for r in pixels.collect()}
+    assert got == {(0, 0): (97, 97, 97, 255), (1, 0): (1, 2, 3, 4), (0, 1): (99, 99, 99, 255), (1, 1): (100, 100, 100, 255)}
+    turned = {(r["x"], r["y"]): r["r"] for r in view.oriented(pixels, 6).collect()}
+    assert turned == {(1, 0): 97, (1, 1): 1, (0, 0): 99, (0, 1): 100}
+    assert view.with_metadata(decoded, variant=F.lit("own")).first()["variant"] == "own"
+    with pytest.raises(ValueError, match="no metadata"):
+        view.with_metadata(decoded, none=F.lit(1))
+    made = view.blank(spark.createDataFrame([(1, 2, 3), (2, 0, 3), (3, 70_000, 1)], "image_id int, width int, height int")).collect()
+    assert [r["pixels"] and bytes(r["pixels"]) for r in made] == [bytes(24), None, None]
+
+
+def test_frame_options_are_checked(spark):
+    """Unknown matrix, range or layout is an error of the file."""
+    ddl = "image_id int, content binary, options struct<width: int, height: int, format: string, matrix: string, range: string, frame_index: int>"
+    rows = [(0, bytes(24), (4, 4, "I420", "BT.601", "full", 0)), (1, bytes(24), (4, 4, "I420", "BT.999", "full", 0)), (2, bytes(24), (4, 4, "I420", "BT.601", "wide", 0)), (3, bytes(24), (4, 4, "X", "BT.601", "full", 0)), (4, bytes(24), None), (5, bytes(24), (4, 4, "I420", "BT.601", "full", 1))]
+    got = {r["image_id"]: r["error"] for r in decode.decode_frames(spark.createDataFrame(rows, ddl)).collect()}
+    assert got[0] is None and all(got[i]["kind"] == "malformed" for i in range(1, 6)) and "1 of 1" in got[5]["message"]
