@@ -15,8 +15,8 @@ inside a group of equal texts is moved to the group's end if the group is small.
 The quantile is found by counting: bytes are summed over equal ranges of the key
 for all nodes of a level at once, and the range that holds the quantile is cut
 again until it holds next to nothing. Only those sums, of a fixed number for
-each node, reach the driver. The rows are written once; a node is an expression
-over the cuts found so far.
+each node, reach the driver. The rows are written before the first cut; a node
+is an expression over the cuts found so far.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 SHARDS = 24
 #: Bits of a key: the dimension, a hash of the text, a hash of the row's number.
@@ -137,20 +137,25 @@ def kd_shards(df: DataFrame, shards: int = SHARDS, dims: dict[str, Column] | Non
     size is the text's UTF-8 bytes (null: none) plus 8; shards are 0 to
     ``shards`` - 1 and nearly equal in bytes (law ``bytes``), however many rows
     are alike; slots are gapless from 0 in each shard; grown_shard is null under
-    this law. Equal texts with equal metadata share a shard unless a cut falls
-    into their group and it is more than WHOLE_GROUP of a shard. Null doc_ids
-    and metadata are values like any other. An empty table gives an empty
+    this law. Equal texts share a shard unless a cut falls into their group and
+    it is more than WHOLE_GROUP of a shard; for the tree they all have the least
+    metadata among them. Null doc_ids and metadata are values like any other. An empty table gives an empty
     result; other columns aren't read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = dimensions(df, text_col) if dims is None else dims
     names = [f"d_{d}" for d in dims]
     rows = df.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _bits(text, TEXT_BITS).alias("t"),
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
         F.monotonically_increasing_id().alias("n"), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in zip(names, dims.values(), strict=True)),
     )
     # the numbers are written with the rows, so they stay as they are whichever task is run again
-    rows = stored(rows, "metadata").withColumn("tie", F.shiftleft("t", ROW_BITS).bitwiseOR(_bits(F.col("n"), ROW_BITS)))
+    rows = stored(rows, "metadata")
+    # rows of one text take the least metadata among them, so that no dimension parts them
+    groups = rows.groupBy("text_hash").agg(F.min(F.struct(*names)).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    joined = spread_join(rows, groups.select("text_hash", "least"), "text_hash", groups.select("text_hash", F.col("rows").alias("n")), "left")
+    tie = F.shiftleft(_bits(F.col("text_hash"), TEXT_BITS), ROW_BITS).bitwiseOR(_bits(F.col("n"), ROW_BITS))
+    rows = stored(joined.select("doc_id", "size", "text_crc32", "n", tie.alias("tie"), *(F.coalesce(F.col("least")[d], F.col(d)).alias(d) for d in names)), "placed")
     root, cuts, ranks = (0, shards), {}, {}
     level = [root]
     while level := [n for n in level if n[1] > 1]:
