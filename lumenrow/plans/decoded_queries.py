@@ -9,6 +9,8 @@ Spark: files go in as they are, and each image comes back as its sums.
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,7 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codecs import writers
+from ..functions import bytesx
 from ..operators import decode, view
+from ..sources import images
+from ..streaming import arrivals
 from .image_queries import query
 from .recipes import SQL_BYTES, contents, sql_padded
 from .round_trips import written
@@ -26,7 +31,7 @@ from .round_trips import written
 _CHANNELS = "rgba"
 
 
-def image_sums(images: DataFrame) -> DataFrame:
+def image_sums(decoded: DataFrame) -> DataFrame:
     """doc_id, width, height, n, and of each channel its sum and its sum weighted by place, from images with pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +44,7 @@ def image_sums(images: DataFrame) -> DataFrame:
             sums = [pa.array([r[k] for r in out], pa.int64()) for k in range(9)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *sums], names=["doc_id", "width", "height", "n", *(f"{s}_{c}" for c in _CHANNELS for s in ("sum", "at"))])
 
-    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "doc_id long, width int, height int, n long, " + ", ".join(f"{s}_{c} long" for c in _CHANNELS for s in ("sum", "at")))
+    return decoded.select("image_id", "width", "height", "pixels").mapInArrow(run, "doc_id long, width int, height int, n long, " + ", ".join(f"{s}_{c} long" for c in _CHANNELS for s in ("sum", "at")))
 
 
 def sql_grouped(k: int) -> str:
@@ -491,7 +496,56 @@ SHOWN: tuple[tuple[str, bytes, dict[str, str]], ...] = (
 def image_metadata(spark, sf_dir):
     """Of small files the metadata that a reader of the format would state."""
     rows = spark.createDataFrame([(n, bytearray(d)) for n, d, _ in SHOWN], "image_id string, content binary")
-    images = decode.decode_images(rows)
+    decoded = decode.decode_images(rows)
     plain = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in ("format", "variant", "width", "height", "bit_depth", "channels", "color_space", "compression", "is_lossless", "has_transparency")]
-    listed = images.select(F.col("image_id").alias("name"), F.explode(F.concat(F.array(*plain), "extra")).alias("e")).select("name", "e.key", "e.value")
+    listed = decoded.select(F.col("image_id").alias("name"), F.explode(F.concat(F.array(*plain), "extra")).alias("e")).select("name", "e.key", "e.value")
     return listed.join(F.broadcast(spark.createDataFrame([(n, k) for n, _, m in SHOWN for k in m], "name string, key string")), ["name", "key"])
+
+
+# --- files in a folder -------------------------------------------------------
+
+#: name, file, format and error class; names with a leading dot and unlisted extensions aren't taken.
+FOLDER: tuple[tuple[str, bytes, str | None, str | None], ...] = (
+    ("b.PNG", _PIXEL, "PNG", None), ("a.ppm", b"P3 1 1 255 1 2 3", "PNM", None), ("cut.png", _PIXEL[:40], None, "malformed"), ("lossy.webp", writers.webp(b"x", b"VP8 "), None, "unsupported"),
+    ("raw.yuv", bytes(24), None, "unknown"), ("z.gif", b"GIF89a", None, None), (".hidden.png", _PIXEL, None, None),
+)
+_TAKEN = [f for f in FOLDER if not f[0].startswith(".") and not f[0].endswith("gif")]
+
+
+def _folder(spark: SparkSession) -> str:
+    """The files in a new folder: of the shared one that the session names, or on a local master of the machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    path = f"{base}/files-{uuid.uuid4().hex}"
+    images.write_files(spark, path, {name: data for name, data, _, _ in FOLDER})
+    return path
+
+
+_text = lambda v: f"'{v}'" if v else "CAST(NULL AS VARCHAR)"
+
+
+@query("WITH f(name, length, extension, source) AS (VALUES " + ", ".join(f"('{n}', {len(d)}, '{n.rpartition('.')[2].lower()}', 'directory')" for n, d, _, _ in _TAKEN) + ") SELECT name, CAST(length AS BIGINT) AS length, extension, source FROM f")
+def stored_files(spark, sf_dir):
+    """Whole files of a folder, those of listed extensions in either case."""
+    found = images.read_files(spark, _folder(spark))
+    return found.select("name", F.octet_length("content").cast("long").alias("length"), bytesx.file_extension(F.col("name")).alias("extension"), "source")
+
+
+@query("WITH f(name, format, kind) AS (VALUES " + ", ".join(f"('{n}', {_text(f)}, {_text(k)})" for n, _, f, k in _TAKEN) + ") SELECT name, format, kind FROM f")
+def arriving_files(spark, sf_dir):
+    """The folder as a stream, two files a batch, until all have been decoded."""
+    name = f"arrived_{uuid.uuid4().hex}"
+    stream = arrivals.decode_arrivals(spark, _folder(spark), files_per_trigger=2).select(F.col("image_id").alias("name"), "format", F.col("error.kind").alias("kind"))
+    stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("WITH s(seq, name) AS (VALUES (0, 'SOI'), (1, 'APP1'), (2, 'COM'), (3, 'DQT'), (4, 'SOF2'), (5, 'DHT'), (6, 'DHT'), (7, 'DRI'), (8, 'SOS')) SELECT CAST(seq AS INTEGER) AS seq, name FROM s")
+def jpeg_segment_names(spark, sf_dir):
+    """The segments of a progressive file by name, up to its first scan."""
+    data = _flat(bytes(range(64)), ((1, 1),), True, extra=_EXIF + writers.segment(0xFE, b"note"))
+    files = spark.createDataFrame([(0, bytearray(data))], "image_id long, content binary")
+    return decode.jpeg_segments(files).where("seq <= 8").select("seq", "name")

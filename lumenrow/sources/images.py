@@ -72,6 +72,16 @@ def browse_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.col("is_directory").desc(), F.lower("name"), "name")
 
 
+def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
+    """A few small files, by name, into a folder of any store that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    for name, data in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data))
+        out.close()
+
+
 def write_images(images: DataFrame, path: str) -> None:
     """Decoded rows as Parquet."""
     images.write.parquet(path)
