@@ -7,6 +7,7 @@ or moved shows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -160,10 +161,12 @@ def bmp_palette_join(spark, sf_dir):
 @query(f"WITH {sql_words(4)}, a AS (SELECT doc_id, k, CASE WHEN bool_or(b3 % 64 <> 0) OVER (PARTITION BY doc_id) THEN b3 % 64 ELSE 255 END AS alpha FROM w) " + sql_summed("doc_id", "k", "a", alpha="alpha"))
 def bmp_implicit_alpha(spark, sf_dir):
     """A fourth byte is alpha only if it isn't zero in the whole image."""
-    a = F.col("b3") % 64
-    seen = F.bool_or(a != 0).over(Window.partitionBy("doc_id"))
-    rows = words(spark, sf_dir, 4).select("doc_id", "k", F.when(seen, a).otherwise(255).alias("alpha"))
-    return summed(rows, ["doc_id"], F.col("k"), alpha=F.col("alpha"))
+
+    def alpha(v: np.ndarray) -> np.ndarray:
+        a = v.reshape(-1, 4)[:, 3] % 64
+        return a if a.any() else np.full(len(a), 255)
+
+    return value_sums(spark, sf_dir, 4, alpha=alpha)
 
 
 # --- PNM ---------------------------------------------------------------------
@@ -343,12 +346,12 @@ def jpeg_color_cmyk(spark, sf_dir):
     return summed(words(spark, sf_dir, 4), ["doc_id"], F.col("k"), c=plain[0], m=adobe[1], y=plain[2])
 
 
-def _doubled(rows: DataFrame, place: str, keys: list[str]) -> DataFrame:
-    """Each sample twice along an axis, near its left or right neighbour: 3 near + far, edges repeated."""
-    w = Window.partitionBy(*keys).orderBy(place)
-    v = F.col("v")
-    both = F.array(F.struct((2 * F.col(place)).alias("at"), (3 * v + F.coalesce(F.lag("v").over(w), v)).alias("s")), F.struct((2 * F.col(place) + 1).alias("at"), (3 * v + F.coalesce(F.lead("v").over(w), v)).alias("s")))
-    return rows.withColumn("e", both).select(*keys, F.explode("e").alias("e")).select(*keys, F.col("e.at").alias(place), F.col("e.s").alias("v"))
+def _upsampled(v: np.ndarray, down: int) -> np.ndarray:
+    """The bytes as a chroma plane of half the width (and, with ``down`` of 2, height), at full size as the decoder has it."""
+    plane = v.reshape(-1, RASTER_WIDTH)
+    sizes = struct.pack(">BHHB", 8, down * len(plane), 2 * RASTER_WIDTH, 2) + bytes([1, 0x20 | down, 0, 2, 0x11, 0])
+    frame = jpeg.parse_sof(0xC0, sizes, 0)
+    return jpeg.upsample(plane, frame.components[1], frame)
 
 
 def _sql_doubled(source: str, place: str, keys: str) -> str:
@@ -358,14 +361,13 @@ def _sql_doubled(source: str, place: str, keys: str) -> str:
 
 @query(f"WITH {SQL_RASTER}, u AS ({_sql_doubled('p', 'x', 'doc_id, y')}) " + sql_summed("doc_id", f"y * {2 * RASTER_WIDTH} + x", "u", v="(v + 1 + x % 2) // 4"))
 def jpeg_upsample_h2v1(spark, sf_dir):
-    rows = _doubled(raster(spark, sf_dir).select("doc_id", "y", "x", "v"), "x", ["doc_id", "y"])
-    return summed(rows, ["doc_id"], F.col("y") * 2 * RASTER_WIDTH + F.col("x"), v=F.shiftright(F.col("v") + 1 + F.col("x") % 2, 2))
+    """Each sample twice along its row, near its left or right neighbour: 3 near + far, edges repeated."""
+    return value_sums(spark, sf_dir, RASTER_WIDTH, v=lambda v: _upsampled(v, 1))
 
 
 @query(f"WITH {SQL_RASTER}, t AS ({_sql_doubled('p', 'y', 'doc_id, x')}), u AS ({_sql_doubled('t', 'x', 'doc_id, y')}) " + sql_summed("doc_id", f"y * {2 * RASTER_WIDTH} + x", "u", v="(v + 8 - x % 2) // 16"))
 def jpeg_upsample_h2v2(spark, sf_dir):
-    rows = _doubled(_doubled(raster(spark, sf_dir).select("doc_id", "y", "x", "v"), "y", ["doc_id", "x"]), "x", ["doc_id", "y"])
-    return summed(rows, ["doc_id"], F.col("y") * 2 * RASTER_WIDTH + F.col("x"), v=F.shiftright(F.col("v") + 8 - F.col("x") % 2, 4))
+    return value_sums(spark, sf_dir, RASTER_WIDTH, v=lambda v: _upsampled(v, 2))
 
 
 #: Where a pixel (x, y) of an image of 32 columns and h rows lands, by orientation: as it is, mirrored, half turned, flipped, and the same for the transposed image.
@@ -396,9 +398,13 @@ def jpeg_frame_geometry(spark, sf_dir):
 @query(f"WITH {SQL_BYTES}, d AS (SELECT doc_id, i, sum(v - 100) OVER (PARTITION BY doc_id, i // 40 ORDER BY i ROWS UNBOUNDED PRECEDING) AS dc FROM b) " + sql_summed("doc_id", "i", "d", dc="dc"))
 def jpeg_dc_prediction(spark, sf_dir):
     """Differences to values by a running sum that starts anew every 40 units."""
-    w = Window.partitionBy("doc_id", F.expr("i div 40")).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = byte_rows(spark, sf_dir).withColumn("dc", F.sum(F.col("v") - 100).over(w))
-    return summed(rows, ["doc_id"], F.col("i"), dc=F.col("dc"))
+
+    def values(v: np.ndarray) -> np.ndarray:
+        steps = v.astype(np.int64) - 100
+        rows = np.pad(steps, (0, -len(steps) % 40)).reshape(-1, 40)
+        return np.cumsum(rows, axis=1).ravel()[: len(steps)]
+
+    return value_sums(spark, sf_dir, 1, dc=values)
 
 
 # --- WebP --------------------------------------------------------------------
