@@ -2,7 +2,8 @@
 
 A text's terms are its lower-cased words and the words' beginnings, each hashed
 into a bucket and counted once. From labelled rows the buckets that tell most
-about the label are chosen, and a factorization machine is trained on them: a
+about the label are chosen, by themselves or beside one that does, and a
+factorization machine is trained on them: a
 weight for each bucket and a short vector whose inner products weigh pairs, so
 that two terms together can count for more (or less) than each alone.
 """
@@ -30,6 +31,8 @@ SAMPLE_ROWS = 20_000
 CHOSEN = 4096
 #: Least different labelled texts that must have a bucket's term, and by how many standard errors its share of toxic ones must stand out.
 LEAST_ROWS, LEAST_APART = 4, 4.5
+#: The buckets that stand out most, among whose texts further ones are looked for, and by how many standard errors those must stand out there.
+PARTNERS, PAIR_APART = 16, 6.0
 FACTORS, ROUNDS, RATE, DECAY = 6, 200, 0.08, 5e-5
 TOXIC_FROM = 0.3
 #: Distinct words a Python worker remembers.
@@ -104,6 +107,25 @@ def fit(found: list[np.ndarray], labels: np.ndarray, n: int, seed: int = 7) -> t
     return float(params[0][0]), params[1], params[2]
 
 
+def _partners(found: DataFrame, shares: dict[int, float], known: list[int], most: int) -> list[int]:
+    """Buckets that say little by themselves but much beside one of ``shares`` (bucket: its texts' share of toxic ones), ``most`` at most.
+
+    Within a bucket's texts a further one stands out as it would among all
+    texts; where nearly all of them agree there is nothing to tell apart.
+    """
+    even = {b: s for b, s in shares.items() if 0 < s < 1}
+    if not even or most <= 0:
+        return []
+    # PARTNERS pairs of numbers at most
+    share = F.create_map(*(F.lit(x) for pair in even.items() for x in pair))
+    beside = found.select("label", "buckets", F.explode(F.array_intersect("buckets", F.lit(list(even)))).alias("a")).select("label", "a", F.explode("buckets").alias("b"))
+    counts = beside.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("label").alias("t")).withColumn("share", share[F.col("a")])
+    spread = F.col("n") * F.col("share") * (1 - F.col("share"))
+    apart = F.abs(F.col("t") - F.col("n") * F.col("share")) / F.sqrt(spread)
+    fresh = counts.where((spread >= 1) & (F.col("n") >= LEAST_ROWS) & ~F.col("b").isin(known)).withColumn("apart", apart).where(F.col("apart") >= PAIR_APART)
+    return [r["b"] for r in fresh.groupBy("b").agg(F.max("apart").alias("apart")).orderBy(F.desc("apart"), "b").limit(most).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """A machine fitted on a bounded sample of labelled rows, those with the least hash of their doc_id.
 
@@ -130,7 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     # how far the number of toxic texts with the term is from what their share of all would make it, in standard errors
     share = toxic / n
     apart = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
-    best = [r["b"] for r in counts.withColumn("apart", apart).where(F.col("apart") >= LEAST_APART).orderBy(F.desc("apart"), "b").limit(CHOSEN).collect()]
+    telling = counts.withColumn("apart", apart).where(F.col("apart") >= LEAST_APART).orderBy(F.desc("apart"), "b").limit(CHOSEN).collect()
+    best = [r["b"] for r in telling]
+    best += _partners(found, {r["b"]: r["t"] / r["n"] for r in telling[:PARTNERS]}, best, CHOSEN - len(best))
     place = np.full(BUCKETS, len(best), np.int64)
     place[best] = np.arange(len(best))
     chosen = found.select("label", F.array_intersect("buckets", F.lit(best) if best else F.array().cast("array<int>")).alias("buckets"), F.xxhash64("label", "buckets").alias("o")).orderBy("o").toPandas()

@@ -293,6 +293,22 @@ def test_pairs_gain_on_held_out_rows(spark):
     assert ((p >= 0.3) == y).mean() > 0.99 and loss(p) < 0.5 * loss(alone.score(found))
 
 
+def test_terms_that_only_a_pair_tells(spark):
+    """One insult is toxic with a group's mention, another without: the mention says nothing by itself, and the machine learns it all the same."""
+    rng = np.random.default_rng(12)
+    filler = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    rows = []
+    for i in range(6000):
+        one, two, group = rng.random(3) < 0.5
+        text = [*rng.choice(filler, 10), *(["vermin"] if one else []), *(["scumbag"] if two else []), *(["villagers"] if group else [])]
+        rows.append((i, " ".join(text), int(one if group else two)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.where("doc_id < 4000").select("doc_id", "toxic"))
+    assert m.place[toxicity.buckets("villagers")].max() < len(m.weights) - 1
+    p = m.score([toxicity.buckets(t) for _, t, _ in rows[4000:]])
+    assert ((p >= 0.5) == [bool(t) for _, _, t in rows[4000:]]).mean() > 0.97
+
+
 def test_toxicity_of_odd_rows_with_a_fitted_model(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = toxicity.train(docs, labels.where(~toxicity.held_out()))
