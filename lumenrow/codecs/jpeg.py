@@ -498,39 +498,38 @@ class ScanReader:
                 return
 
     def ac_refine(self, i: int, out: np.ndarray) -> None:
-        bits, scan, k = self.bits, self.scan, self.scan.start
-        step = 1 << scan.low
-
-        def correct(at: int) -> None:
-            v = int(out[at])
-            if bits.read(1) and not abs(v) & step:
-                out[at] = v + step if v > 0 else v - step
-
-        if not self.run:
-            read = self.code(1, scan.parts[i][2]).read
-            while k <= scan.end:
-                symbol = read(bits)
-                run, value = symbol >> 4, 0
-                if symbol & 15:
-                    value = step if bits.read(1) else -step
-                elif run < 15:
-                    self.run = (1 << run) + bits.read(run)
-                    break
-                while k <= scan.end:
-                    if out[k]:
-                        correct(k)
-                    elif run:
-                        run -= 1
-                    else:
-                        break
-                    k += 1
-                if value and k <= scan.end:  # a run over the band's end has nothing to set
-                    out[k] = value
-                k += 1
+        """One more bit for a band. Places that hold a value already and places that don't are walked as two lists: a run counts the latter, and the former passed on the way take a correction bit each."""
+        bits, scan, step = self.bits, self.scan, 1 << self.scan.low
+        beyond = scan.end + 1
+        band = out[scan.start : beyond].tolist()
+        free = [scan.start + k for k, v in enumerate(band) if not v]
+        held = iter([(scan.start + k, v) for k, v in enumerate(band) if v])
+        ahead = next(held, (beyond, 0))
+
+        def correct_before(place: int) -> None:
+            nonlocal ahead
+            while ahead[0] < place:
+                at, v = ahead
+                if bits.read(1) and not abs(v) & step:
+                    out[at] = v + step if v > 0 else v - step
+                ahead = next(held, (beyond, 0))
+
+        place, passed = scan.start - 1, 0
+        read = self.code(1, scan.parts[i][2]).read if not self.run else None
+        while not self.run and place < scan.end:
+            symbol = read(bits)
+            run, size = symbol >> 4, symbol & 15
+            if not size and run < 15:
+                self.run = (1 << run) + bits.read(run)
+                break
+            value = (step if bits.read(1) else -step) if size else 0
+            place = free[passed + run] if passed + run < len(free) else beyond
+            correct_before(place)
+            if value and place < beyond:  # a run over the band's end has nothing to set
+                out[place] = value
+            passed += run + 1
         if self.run:
-            for at in range(k, scan.end + 1):
-                if out[at]:
-                    correct(at)
+            correct_before(beyond)
             self.run -= 1
 
 
