@@ -31,14 +31,14 @@ from .round_trips import written
 _CHANNELS = "rgba"
 
 
-def image_sums(decoded: DataFrame) -> DataFrame:
-    """doc_id, width, height, n, and of each channel its sum and its sum weighted by place, from images with pixels."""
+def image_sums(decoded: DataFrame, step: int = 1) -> DataFrame:
+    """doc_id, width, height, n, and of each channel its sum and its sum weighted by place, from images with pixels; with ``step`` of the first pixel of each square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = []
-            for blob in batch.column(3):
-                p = np.frombuffer(blob.as_py() or b"", np.uint8).reshape(-1, 4).astype(np.int64)
+            for width, blob in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                p = np.frombuffer(blob.as_py() or b"", np.uint8).reshape(-1, width or 1, 4)[::step, ::step].reshape(-1, 4).astype(np.int64)
                 weight = np.arange(len(p)) % 1009 + 1
                 out.append([len(p), *(x for c in range(4) for x in (int(p[:, c].sum()), int(p[:, c] @ weight)))])
             sums = [pa.array([r[k] for r in out], pa.int64()) for k in range(9)]
@@ -62,11 +62,11 @@ def _grid(data: bytes, unit: int) -> np.ndarray:
     return np.frombuffer(data + bytes(-len(data) % unit), np.uint8).reshape(-1, unit)
 
 
-def image_query(name: str, write: Callable[[bytes], bytes], sql: str) -> None:
+def image_query(name: str, write: Callable[[bytes], bytes], sql: str, step: int = 1) -> None:
     """Registers a query that writes each text as a file, decodes it and sums its pixels."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return image_sums(decode.decode_images(written(spark, sf_dir, write)))
+        return image_sums(decode.decode_images(written(spark, sf_dir, write)), step)
 
     run.__name__ = name
     query(sql)(run)
@@ -264,23 +264,23 @@ for _name, _format, _matrix, _range in (
 # --- JPEG --------------------------------------------------------------------
 
 
+#: Blocks in a row of the JPEG images, and bytes whose mean is a block's colour.
+BLOCKS, MEAN = 8, 64
+
+
 def _flat(data: bytes, factors: tuple[tuple[int, int], ...], progressive: bool = False, ids: tuple[int, ...] = (1, 2, 3), extra: bytes = b"") -> bytes:
-    """A block of one colour for each byte of the first component; further ones are the text's first bytes all over. Steps of 8 make a mean's coefficient the value."""
-    v = _grid(data, 8).astype(int)
+    """The first component has a block of one colour for the mean of each MEAN bytes; further ones have the second mean and so on all over. Steps of 8 make a mean's coefficient the value."""
+    v = _grid(data, BLOCKS * MEAN).reshape(-1, BLOCKS, MEAN).astype(int).sum(axis=2) // MEAN
     mh, mv = factors[0]
-    wide, tall = -(-8 // mh) * mh, -(-len(v) // mv) * mv
-    first = np.zeros((tall, wide, 64), int)
-    first[: len(v), :8, 0] = v - 128
-    parts = [(ids[0], mh, mv, 0, _by_mcu(first))]
+    tall = -(-len(v) // mv) * mv
+    first = np.zeros((tall, BLOCKS, 64), int)
+    first[: len(v), :, 0] = v - 128
+    parts = [(ids[0], mh, mv, 0, first.reshape(-1, 64))]
     for c, (h, w) in enumerate(factors[1:], 1):
-        blocks = np.zeros((wide // mh * h * (tall // mv) * w, 64), int)
+        blocks = np.zeros((BLOCKS // mh * h * (tall // mv) * w, 64), int)
         blocks[:, 0] = int(v.ravel()[c]) - 128
         parts.append((ids[c], h, w, 0, blocks))
-    return writers.jpeg(64, 8 * len(v), parts, [[8] * 64], 3 if progressive else 0, progressive, extra)
-
-
-def _by_mcu(blocks: np.ndarray) -> np.ndarray:
-    return blocks.reshape(-1, 64)
+    return writers.jpeg(8 * BLOCKS, 8 * len(v), parts, [[8] * 64], 3 if progressive else 0, progressive, extra)
 
 
 def _sql_fixed(y: str, cb: str, cr: str) -> tuple[str, str, str]:
@@ -289,29 +289,41 @@ def _sql_fixed(y: str, cb: str, cr: str) -> tuple[str, str, str]:
     return clamped(f"({cr} - 128) * 91881"), clamped(f"-({cb} - 128) * 22554 - ({cr} - 128) * 46802"), clamped(f"({cb} - 128) * 116130")
 
 
-_SQL_BLOCKS = f"WITH {sql_padded(8)}, c AS (SELECT doc_id, max(CASE WHEN i = 1 THEN v END) AS cb, max(CASE WHEN i = 2 THEN v END) AS cr FROM pb GROUP BY doc_id), e AS (SELECT pb.doc_id, cb, cr, v, i // 8 * 8 + j AS y, i % 8 * 8 + k AS x, m FROM pb JOIN c ON pb.doc_id = c.doc_id JOIN s ON pb.doc_id = s.doc_id, range(8) AS r(j), range(8) AS q(k)), p AS (SELECT *, y * 64 + x AS place FROM e) "
+#: A row per block, whose pixels are all alike.
+_SQL_BLOCKS = f"""WITH {sql_padded(BLOCKS * MEAN)}, t AS (SELECT doc_id, i // {MEAN} AS i, CAST(sum(v) AS BIGINT) // {MEAN} AS v FROM pb GROUP BY doc_id, i // {MEAN}),
+    c AS (SELECT doc_id, max(CASE WHEN i = 1 THEN v END) AS cb, max(CASE WHEN i = 2 THEN v END) AS cr, max(CASE WHEN i = 3 THEN v END) AS ink, count(*) // {BLOCKS} AS tall FROM t GROUP BY doc_id), p AS (SELECT t.doc_id, cb, cr, ink, v, i, tall FROM t JOIN c ON t.doc_id = c.doc_id) """
+
+
+def _sql_blocks(r: str, g: str, b: str, turned: bool = False) -> str:
+    place = f"(i % {BLOCKS} * tall + tall - 1 - i // {BLOCKS})" if turned else "i"
+    made = ", ".join(f"CAST(sum({v}) AS BIGINT) AS sum_{c}, CAST(sum(({v}) * ({place} % 1009 + 1)) AS BIGINT) AS at_{c}" for c, v in zip(_CHANNELS, (r, g, b, "255"), strict=True))
+    sizes = (f"{8 * BLOCKS}", "8 * max(tall)")
+    width, height = sizes[::-1] if turned else sizes
+    return f"{_SQL_BLOCKS}SELECT doc_id, CAST({width} AS INTEGER) AS width, CAST({height} AS INTEGER) AS height, count(*) AS n, {made} FROM p GROUP BY doc_id"
+
+
 for _name, _factors in (("444", ((1, 1),) * 3), ("422", ((2, 1), (1, 1), (1, 1))), ("420", ((2, 2), (1, 1), (1, 1))), ("440", ((1, 2), (1, 1), (1, 1)))):
     for _kind in (False, True):
-        image_query(f"jpeg_{_name}_{'progressive' if _kind else 'baseline'}_decode", lambda d, f=_factors, k=_kind: _flat(d, f, k), _SQL_BLOCKS + sql_sums("64", "p", *_sql_fixed("v", "cb", "cr")))
-image_query("jpeg_gray_decode", lambda d: _flat(d, ((1, 1),)), _SQL_BLOCKS + sql_sums("64", "p", "v", "v", "v"))
-image_query("jpeg_rgb_ids_decode", lambda d: _flat(d, ((1, 1),) * 3, ids=(82, 71, 66)), _SQL_BLOCKS + sql_sums("64", "p", "v", "cb", "cr"))
+        image_query(f"jpeg_{_name}_{'progressive' if _kind else 'baseline'}_decode", lambda d, f=_factors, k=_kind: _flat(d, f, k), _sql_blocks(*_sql_fixed("v", "cb", "cr")), 8)
+image_query("jpeg_gray_decode", lambda d: _flat(d, ((1, 1),)), _sql_blocks("v", "v", "v"), 8)
+image_query("jpeg_rgb_ids_decode", lambda d: _flat(d, ((1, 1),) * 3, ids=(82, 71, 66)), _sql_blocks("v", "cb", "cr"), 8)
 #: APP14 with transform 0: inks stand inverted.
 _ADOBE = writers.segment(0xEE, b"Adobe\0\x64\0\0\0\0\0")
-image_query("jpeg_cmyk_decode", lambda d: _flat(d + b"\0" * (4 - min(4, len(d))), ((1, 1),) * 4, ids=(1, 2, 3, 4), extra=_ADOBE), _SQL_BLOCKS.replace("AS cr FROM", "AS cr, max(CASE WHEN i = 3 THEN v END) AS ink FROM").replace("cb, cr, v, i //", "cb, cr, ink, v, i //") + sql_sums("64", "p", "v * ink // 255", "cb * ink // 255", "cr * ink // 255"))
+image_query("jpeg_cmyk_decode", lambda d: _flat(d, ((1, 1),) * 4, ids=(1, 2, 3, 4), extra=_ADOBE), _sql_blocks("v * ink // 255", "cb * ink // 255", "cr * ink // 255"), 8)
 #: Orientation 6 in a little-endian directory of one entry.
 _EXIF = writers.segment(0xE1, b"Exif\0\0II*\0\x08\0\0\0\x01\0\x12\x01\x03\0\x01\0\0\0\x06\0\0\0")
-image_query("jpeg_turned_decode", lambda d: _flat(d, ((1, 1),), extra=_EXIF), _SQL_BLOCKS.replace("y * 64 + x AS place", "x * m + m - 1 - y AS place") + sql_sums("max(m)", "p", "v", "v", "v"))
+image_query("jpeg_turned_decode", lambda d: _flat(d, ((1, 1),), extra=_EXIF), _sql_blocks("v", "v", "v", True), 8)
 
 
 def _coefficients(progressive: bool, sampled: bool) -> Callable[[bytes], bytes]:
     def write(data: bytes) -> bytes:
         """Eight bytes less 128 are a block's first coefficients; with chroma of half the width beside them."""
         v = _grid(data, 8).astype(int) - 128
-        n = len(v) + len(v) % 2
+        n = -(-len(v) // BLOCKS) * BLOCKS
         coefs = np.zeros((n, 64), int)
         coefs[: len(v), :8] = v
         parts = [(1, 2 if sampled else 1, 1, 0, coefs)] + [(i, 1, 1, 0, coefs[i - 2 :: 2]) for i in (2, 3)] * sampled
-        return writers.jpeg(16, 8 * (n // 2), parts, [[1] * 64], 0 if progressive else 5, progressive)
+        return writers.jpeg(8 * BLOCKS, 8 * (n // BLOCKS), parts, [[1] * 64], 0 if progressive else 5, progressive)
 
     return write
 
@@ -327,8 +339,8 @@ def coefficient_query(name: str, progressive: bool, sampled: bool) -> None:
 
     run.__name__ = name
     shown = "SELECT doc_id, CAST({c} AS INTEGER) AS component, max(n) AS blocks, CAST(sum(CASE WHEN i < size THEN (v - 128) * (i % 8 + 1 + ({b}) % 1009) ELSE 0 END) AS BIGINT) AS at_coef FROM t {where} GROUP BY doc_id"
-    sql = f"WITH {sql_padded(8)}, t AS (SELECT pb.doc_id, i, v, s.m AS size, (s.m // 8 + s.m // 8 % 2){{half}} AS n FROM pb JOIN s ON pb.doc_id = s.doc_id) "
-    whole = sql.replace("{half}", "") + shown.format(c=1, b="i // 8", where="")
+    sql = f"WITH {sql_padded(8)}, t AS (SELECT pb.doc_id, i, v, s.m AS size, (s.m // 8 + {BLOCKS - 1}) // {BLOCKS} * {BLOCKS} AS n FROM pb JOIN s ON pb.doc_id = s.doc_id) "
+    whole = sql + shown.format(c=1, b="i // 8", where="")
     if sampled:
         halves = " UNION ALL ".join(shown.format(c=c, b="i // 16", where="").replace("FROM t", f"FROM (SELECT doc_id, n // 2 AS n, i, v, CASE WHEN i // 8 % 2 = {c - 2} THEN size ELSE 0 END AS size FROM t)") for c in (2, 3))
         whole += " UNION ALL " + halves
@@ -385,16 +397,15 @@ def _webp_indexed(bits: int) -> Callable[[bytes], bytes]:
     steps[0, 1:] = _apart(palette[0, 1:], palette[0, :-1])
 
     def write(data: bytes) -> bytes:
-        v = _grid(data, 8)
-        per = 8 // bits
-        return writers.webp(writers.vp8l(v.astype(np.int64) << 8, [(3, colors, steps, 8 * per)]))
+        v = _grid(data, 64)
+        return writers.webp(writers.vp8l(v.astype(np.int64) << 8, [(3, colors, steps, 64 * (8 // bits))]))
 
     return write
 
 
 for _bits in (1, 2, 4):
     _per = 8 // _bits
-    image_query(f"webp_{1 << _bits}_colors_decode", _webp_indexed(_bits), f"WITH {sql_padded(8)}, p AS (SELECT doc_id, i * {_per} + k AS place, v // CAST(pow(2, {_bits} * k) AS BIGINT) % {1 << _bits} AS t FROM pb, range({_per}) AS r(k)) " + sql_sums(str(8 * _per), "p", "t * 15", "255 - t * 15", "t * 9"))
+    image_query(f"webp_{1 << _bits}_colors_decode", _webp_indexed(_bits), f"WITH {sql_padded(64)}, p AS (SELECT doc_id, i * {_per} + k AS place, v // CAST(pow(2, {_bits} * k) AS BIGINT) % {1 << _bits} AS t FROM pb, range({_per}) AS r(k)) " + sql_sums(str(64 * _per), "p", "t * 15", "255 - t * 15", "t * 9"))
 
 
 def _webp_crossed(data: bytes) -> bytes:
@@ -486,7 +497,7 @@ def fault_classes(spark, sf_dir):
 SHOWN: tuple[tuple[str, bytes, dict[str, str]], ...] = (
     ("bmp", writers.bmp(3, -2, 24, bytes(24)), {"format": "BMP", "width": "3", "height": "2", "bit_depth": "24", "is_lossless": "true", "has_transparency": "false"}),
     ("png", writers.png(2, 1, 8, 6, [b"\0" + bytes(8)], [(b"tEXt", b"Title\0a note"), (b"gAMA", struct.pack(">I", 45455)), (b"pHYs", struct.pack(">IIB", 2835, 2835, 1))]), {"format": "PNG", "bit_depth": "8", "channels": "4", "compression": "Deflate", "has_transparency": "true", "Title": "a note", "gamma": "0.45455", "dpi": "72", "interlace": "none", "filters": "None x 1"}),
-    ("jpeg", _flat(bytes([200, 100, 50] * 8), ((2, 2), (1, 1), (1, 1)), True, extra=writers.segment(0xFE, b" note\x07 ")), {"format": "JPEG", "variant": "progressive", "width": "64", "height": "24", "channels": "3", "color_space": "YCbCr", "sampling": "4:2:0", "MCUs": "4 x 2", "restart interval": "3", "JFIF": "false", "comment": "note", "is_lossless": "false", "quantisation": "0: DC 8, mean 8.00"}),
+    ("jpeg", _flat(bytes([200, 100, 50] * 512), ((2, 2), (1, 1), (1, 1)), True, extra=writers.segment(0xFE, b" note\x07 ")), {"format": "JPEG", "variant": "progressive", "width": "64", "height": "24", "channels": "3", "color_space": "YCbCr", "sampling": "4:2:0", "MCUs": "4 x 2", "restart interval": "3", "JFIF": "false", "comment": "note", "is_lossless": "false", "quantisation": "0: DC 8, mean 8.00"}),
     ("pnm", b"P5 2 1 1000\n" + bytes(4), {"format": "PNM", "width": "2", "height": "1", "maxval": "1000"}),
     ("webp", writers.webp(writers.vp8l(np.array([[0xFF010203]]), [(2, 0, None)])), {"format": "WebP", "variant": "VP8L", "width": "1", "cache bits": "0", "groups": "1"}),
 )

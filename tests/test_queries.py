@@ -8,7 +8,7 @@ import pytest
 
 from lumenrow.plans import decoded_queries, image_queries, round_trips, view_queries  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF = __import__("os").environ.get("QUERY_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
