@@ -79,9 +79,9 @@ def view_zoom_and_centre(spark, sf_dir):
 
 @query("SELECT t AS name, false AS is_directory, CAST(NULL AS VARCHAR) AS error FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) AS v(n), LATERAL (SELECT n || '.parquet' AS t) UNION ALL SELECT 'nowhere', false, 'no such folder'")
 def directory_listing(spark, sf_dir):
-    """The tables' own folder, and one that isn't there: its failure is a row."""
+    """The tables' own folder, in which a table may lie in parts, and one that isn't there: its failure is a row."""
     from ..sources import images
 
-    found = images.list_directory(spark, sf_dir, ("parquet",)).select("name", "is_directory", "error")
+    found = images.list_directory(spark, sf_dir, ("parquet",), in_parts=True).select("name", "is_directory", "error")
     missing = images.list_directory(spark, f"{sf_dir}/nowhere").select("name", "is_directory", "error")
     return found.unionByName(missing)

@@ -96,6 +96,27 @@ def test_directory_listing(spark, folder, tmp_path):
     assert "pam" in images.EXTENSIONS and len(images.EXTENSIONS) == 22
 
 
+def test_tables_in_parts_are_listed_as_files(spark, tmp_path):
+    """A table that Spark wrote is a folder; an empty folder of that name is none, nor is any without being asked."""
+    spark.range(10).repartition(2).write.parquet(f"{tmp_path}/made.parquet")
+    spark.range(4).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(f"{tmp_path}/keyed.parquet")
+    spark.range(1).coalesce(1).write.parquet(f"{tmp_path}/other")
+    (tmp_path / "empty.parquet").mkdir()
+    (tmp_path / "one.parquet").write_bytes(b"PAR1")
+    found = {r["name"]: r for r in images.list_directory(spark, str(tmp_path), ("parquet",), in_parts=True).collect()}
+    assert {k: r["is_directory"] for k, r in found.items()} == {"made.parquet": False, "keyed.parquet": False, "one.parquet": False, "other": True, "empty.parquet": True}
+    assert found["made.parquet"]["size_bytes"] == sum(f.stat().st_size for f in (tmp_path / "made.parquet").glob("part-*")) and found["other"]["size_bytes"] is None
+    plain = images.list_directory(spark, str(tmp_path), ("parquet",)).collect()
+    assert {r["name"]: r["is_directory"] for r in plain} == {"made.parquet": True, "keyed.parquet": True, "one.parquet": False, "other": True, "empty.parquet": True}
+
+
+def test_directory_query_reads_tables_in_parts(spark, tmp_path):
+    from lumenrow.plans import view_queries
+
+    spark.range(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in view_queries.directory_listing(spark, str(tmp_path)).collect()} == {("documents.parquet", False, None), ("nowhere", False, "no such folder")}
+
+
 def test_images_are_changed_by_expressions(spark):
     decoded = decode.decode_images(files(spark, GRAY), keep=())
     pixels = view.with_pixel(decode.pixels_of(decoded, sizes=True), 1, 0, (1, 2, 3, 4))
