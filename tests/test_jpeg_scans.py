@@ -66,6 +66,7 @@ def test_files_written_together(progressive):
 
 #: The texts' bytes as files, by query.
 WRITERS = {
+    "jpeg_progressive_coefficients": decoded_queries._coefficients(True, False),
     "jpeg_interleaved_coefficients": decoded_queries._coefficients(False, True),
     "jpeg_entropy_roundtrip": round_trips._jpegs,
     "jpeg_progressive_sampled_coefficients": decoded_queries._coefficients(True, True),
